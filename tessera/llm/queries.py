@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, secrets, simhash, toxicity
+from . import curriculum, decontam, langid, secrets, simhash, topk, toxicity
 from .common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -20,6 +25,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows.filter("vec_id % 50 = 0"), rows)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,8 +53,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_decontaminate": op2_decontaminate,
         "op4_secrets": op4_secrets,
+        "op5_topk": op5_topk,
         "op6_simhash": op6_simhash,
         "op8_toxicity": op8_toxicity,
         "op10_curriculum": op10_curriculum,
@@ -75,4 +87,4 @@ FROM docs d LEFT JOIN counts USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": DECONTAMINATE_SQL, "op10_curriculum": curriculum.ORACLE_SQL}
+    return {"op2_decontaminate": DECONTAMINATE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_curriculum": curriculum.ORACLE_SQL}
