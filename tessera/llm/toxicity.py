@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out, text_blocks, word_hashes, words
+from .common import BLOCK_BYTES, LOWER, held_out, text_blocks, word_hashes, words
 
 #: Bound on the labelled rows per class that training reads, and on the bytes of all their texts.
 SAMPLE_ROWS = 2000
@@ -130,6 +130,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * f[:, 0] + b * f[:, 1] + c, -500, 500)))
 
 
+def _blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def train(texts: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, share: float | None = None, seed: int = 7) -> Model:
     """Joint full-batch training (Adam) of embeddings and softmax, then of the link.
 
@@ -141,7 +150,13 @@ def train(texts: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, dim: in
         return Model(np.zeros(1), 0.0, None, prior)
     data = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    low, starts, ends, rows, hashes = _tokens(data, offs)
+    # Word hashes need eight bytes a byte, so the sample is hashed in blocks.
+    parts = []
+    for lo, hi in _blocks(offs):
+        _, s, e, r, h = _tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        parts.append((s + offs[lo], e + offs[lo], r + lo, h))
+    starts, ends, rows, hashes = (np.concatenate([x[i] for x in parts]) for i in range(4))
+    low = LOWER[data]
     # Distinct words, and how often each stands in each text; words of a single text teach nothing.
     _, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
     length = np.maximum(np.bincount(rows, minlength=len(y)), 1)
@@ -188,8 +203,9 @@ def train(texts: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, dim: in
     logits[used] = w @ e
     model = Model(logits, float(bias[0]), (1.0, 0.0, float(bias[0])), prior)
     fit = apart if apart.any() else ~apart
-    a, b, _ = _link(model.features(data, offs)[fit], y[fit])
-    c = _tuned(model.features(data, offs)[fit] @ np.array([a, b]), y[fit], prior if share is None else share)
+    seen = np.concatenate([model.features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in _blocks(offs)])[fit]
+    a, b, _ = _link(seen, y[fit])
+    c = _tuned(seen @ np.array([a, b]), y[fit], prior if share is None else share)
     model.link = (a, b, c)
     return model
 
