@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, langid, secrets, simhash, topk, toxicity
+from . import curriculum, decontam, htmltext, langid, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_topk": op5_topk,
         "op6_simhash": op6_simhash,
+        "op7_extract": op7_extract,
         "op8_toxicity": op8_toxicity,
         "op10_curriculum": op10_curriculum,
         "pipeline": pipeline,
