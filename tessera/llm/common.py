@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,11 +40,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.n = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns a reader of the written rows."""
+    def cut(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes df (in folders by the column `by`) and returns a reader of the written rows."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
@@ -58,6 +58,11 @@ class Scratch:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def sweep(self) -> None:
+        """Lets Spark drop the shuffle files of finished steps, which it does when their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, htmltext, langid, secrets, simhash, topk, toxicity
+from . import curriculum, decontam, htmltext, katz, langid, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
         "op2_decontaminate": op2_decontaminate,
+        "op3_katz": op3_katz,
         "op4_secrets": op4_secrets,
         "op5_topk": op5_topk,
         "op6_simhash": op6_simhash,
