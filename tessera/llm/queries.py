@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, htmltext, katz, langid, secrets, simhash, topk, toxicity
+from . import curriculum, decontam, htmltext, katz, langid, passages, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(spark, table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_extract": op7_extract,
         "op8_toxicity": op8_toxicity,
+        "op9_passages": op9_passages,
         "op10_curriculum": op10_curriculum,
         "pipeline": pipeline,
     }
