@@ -1,0 +1 @@
+"""The dialect has no streaming statements; this package is reserved for sources that append to tables."""
