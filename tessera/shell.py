@@ -56,8 +56,8 @@ def split(text: str) -> tuple[list[str], str]:
 
 
 class Shell:
-    def __init__(self, session: Session, plain: bool = False, out: TextIO = sys.stdout, err: TextIO = sys.stderr):
-        self.session, self.plain, self.out, self.err = session, plain, out, err
+    def __init__(self, session: Session, plain: bool = False, out: TextIO | None = None, err: TextIO | None = None):
+        self.session, self.plain, self.out, self.err = session, plain, out or sys.stdout, err or sys.stderr
         self.errors = 0
 
     def say(self, text: str, to: TextIO | None = None) -> None:
