@@ -1,0 +1,394 @@
+"""Operators over the whole corpus: Katz, top-k, SimHash, pages, passages, curriculum, pipeline."""
+
+from __future__ import annotations
+
+import collections
+import math
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from tessera.llm import curriculum, decontam, htmltext, katz, passages, queries, secrets, simhash, topk, toxicity
+from tessera.llm.packed import pack, unpack
+
+from .helpers import AWKWARD, alnum, crc, documents, spaced
+
+
+def test_packing():
+    arrays = [np.array([], np.uint64), np.array([1, 300], np.uint64), np.array([1 << 40], np.uint64), np.array([1 << 63], np.uint64), np.array([-5, 7], np.int64), np.array([0.5, -1e300])]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, unpack(pack(*arrays)), strict=True))
+
+
+# Katz
+
+
+def katz_by_hand(texts, ids):
+    tokens = [[*spaced(t), None] for t in texts]
+    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in zip(ids, tokens, strict=True):
+        if i is None or crc(i, 7) != 2:
+            h = ("start",)
+            for w in t:
+                c1[w] += 1
+                c2[h, w] += 1
+                ch[h] += 1
+                h = w
+    n, v = sum(c1.values()), len(c1)
+    sizes = lambda c: [collections.Counter(c.values())[r] for r in range(1, katz.CUT + 2)]
+    d1, d2 = katz.discounts(sizes(c1)), katz.discounts(sizes(c2))
+    kept = lambda d, c: d[min(c, katz.CUT + 1)] * c
+    unknown = 1 - sum(kept(d1, c) for c in c1.values()) / n if n else 1.0
+    p1 = lambda w: kept(d1, c1[w]) / n if w in c1 else unknown
+    left, mass = collections.Counter(), collections.Counter()
+    for (h, w), c in c2.items():
+        left[h] += c - kept(d2, c)
+        mass[h] += p1(w)
+    out = []
+    for t in tokens:
+        h, score, base, known = ("start",), 0.0, 0.0, 0
+        for w in t:
+            if (h, w) in c2:
+                score += math.log10(kept(d2, c2[h, w]) / ch[h])
+            else:
+                score += math.log10((left[h] / ch[h] / (1 - mass[h]) if ch[h] else 1.0) * p1(w))
+            base += math.log10((c1[w] + 1) / (n + v + 1))
+            known += w in c1
+            h = w
+        out.append((len(t), known, n, base, score))
+    return out, (c1, c2, ch, p1, left, mass, kept, d2, unknown)
+
+
+def check_katz(spark, texts, ids):
+    want, model = katz_by_hand(texts, ids)
+    got = katz.score(spark, documents(spark, texts, ids)).collect()
+    assert len(got) == len(texts)
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6), r["held_out"]) for r in got))
+    hand = sorted(((i is None, i or 0, a, b, c, round(d, 6), round(e, 6), i is not None and crc(i, 7) == 2) for i, (a, b, c, d, e) in zip(ids, want, strict=True)))
+    for a, b in zip(rows, hand, strict=True):
+        assert a[:5] == b[:5] and a[7] == b[7]
+        assert a[5:7] == pytest.approx(b[5:7], abs=2e-5)
+    return model
+
+
+def test_katz_against_brute_force(spark):
+    rng = random.Random(1)
+    vocabulary = ["the"] * 30 + [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(120)] + AWKWARD[:8]
+    ids = [*range(len(texts) - 2), None, None]
+    c1, c2, ch, p1, left, mass, kept, d2, unknown = check_katz(spark, texts, ids)
+    for h in list(ch)[:20]:  # every distribution sums to one
+        seen = {w for (g, w) in c2 if g == h}
+        alpha = left[h] / ch[h] / (1 - mass[h])
+        total = sum(kept(d2, c2[h, w]) / ch[h] for w in seen) + alpha * (unknown + sum(p1(w) for w in c1 if w not in seen))
+        assert total == pytest.approx(1)
+
+
+def test_katz_small_and_empty(spark):
+    assert katz.score(spark, documents(spark, [])).collect() == []
+    held = next(i for i in range(100) if crc(i, 7) == 2)
+    r = katz.score(spark, documents(spark, ["never trained"], [held])).first()
+    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (True, 3, 0, 0, 0.0, 0.0)
+    check_katz(spark, ["a a a a", "a a a a", "a"], [0, 0, 1])
+
+
+# Top-k
+
+
+def test_topk_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 0.2, (300, 8))
+    v[40:80] = v[40]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
+    rows += [(300, None), (350, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (None, [0.1] * 8), (500, [0.5, 0.5]), (501, [1.0, 1.0]), (550, []), (7, rows[7][1]), (50, rows[50][1])]
+    df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    good = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = []
+    for q, e in {i: e for i, e in sorted(good, reverse=True)}.items():
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in good if i != q and len(f) == len(e))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    for block, shard in ((4096, 8192), (2, 16)):
+        got = topk.search(df.filter("vec_id % 50 = 0"), df, query_rows=block, shard_rows=shard)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = df.filter("vec_id < 0")
+    assert topk.search(none, df).collect() == [] and topk.search(df.filter("vec_id = 0"), none).collect() == []
+
+
+def test_topk_stops_early():
+    ids, vectors = np.arange(20_000), np.zeros((20_000, 4), np.int64)
+    vectors[:, 0] = np.arange(20_000)
+    best = topk.Best(np.array([-1]), np.array([[1, 0, 0, 0]]), 5)
+    calls = []
+    add, best.add = best.add, lambda q, s, i: (calls.append(len(i)), add(q, s, i))
+    topk.search_shard(best, ids, vectors)
+    assert sum(calls) < 100 and best.found[0].tolist() == [19999, 19998, 19997, 19996, 19995]
+
+
+# SimHash
+
+
+def fingerprint(text):
+    w = spaced(text)
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def by_hand(ids, fps, radius=2):
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                parent[root(i)] = root(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(fps)):
+        groups[root(i)].append(i)
+    return {i: min((ids[j] for j in g if ids[j] is not None), default=None) for g in groups.values() for i in g}
+
+
+def test_simhash_against_brute_force(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(60)) for _ in range(25)]
+    texts = list(AWKWARD)
+    for t in base:
+        w = t.split()
+        texts += [t, t.upper(), " ".join(w[:30] + ["new"] + w[30:]), " ".join(w[:-1]), t.replace(" ", "\n", 3)]
+    ids = [*range(len(texts) - 3), None, None, 5]
+    fps = [fingerprint(t) for t in texts]
+    want = by_hand(ids, fps)
+    got = simhash.components(spark, documents(spark, texts, ids)).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["fp"] % 2**64, r["component_id"]) for r in got)) == sorted((i is None, i or 0, fps[k], want[k]) for k, i in enumerate(ids))
+    assert simhash.components(spark, documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("heavy", [512, 3])
+def test_simhash_dense_clusters(spark, monkeypatch, heavy):
+    """A cluster around one centre and a chain, with block values frequent enough to be routed again."""
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    values = {centre} | {centre ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(200)} | {rng.getrandbits(64) for _ in range(200)}
+    chain = rng.getrandbits(64)
+    for _ in range(30):
+        chain ^= 3 << rng.randrange(63)
+        values.add(chain)
+    values = sorted(values)
+    rng.shuffle(values)
+    from tessera.llm.common import Scratch
+
+    frame = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(values)], "doc_id long, fp long")
+    got = simhash._grouped(spark, frame, Scratch(spark), 2).join(frame, "fp").collect()
+    want = by_hand(list(range(len(values))), values)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_bk_tree_finds_all_pairs():
+    rng = np.random.default_rng(2)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 62, 300, dtype=np.uint64), rng.integers(0, 64, 40, dtype=np.uint64)]))
+    tree = simhash.BKTree(values)
+    got = {(int(q), int(n)) for qs, ns in tree.search(values, 2) for q, n in zip(qs, ns, strict=True)}
+    assert got == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 2}
+
+
+def test_keep_one(spark):
+    texts = ["a b c d e f"] * 4 + ["x y z w v u", None, ""]
+    docs = documents(spark, texts, ids=[3, 1, 1, None, 9, None, None])
+    kept = simhash.keep_one(spark, docs)
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    assert len(rows) == 3
+    assert {r["doc_id"] for r in rows} == {1, 9, None}
+
+
+# Pages
+
+
+PAGE = """<!doctype html><html><head><title>no</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
+<header><h1>Site</h1></header><nav class=menu><ul><li><a href=x>Home</a></li></ul></nav><div class="cookie-notice">no</div>
+<article><h1>Head &amp; line</h1><p>First  <b>bold</b>
+text&nbsp;here<br>next<p>Second &lt;b&gt; &eacute;<div class="ad banner">Buy</div><form><p>no</p><input></form>
+<aside>side</aside><ul><li>one<li>two</ul><section id="comments"><p>nice post</p></section><p>{0}</p></article>
+<footer>&copy; me</footer></body></html>"""
+
+
+def test_page_structure():
+    lines, named = htmltext.lines_of(PAGE.format("End"))
+    assert named
+    assert [x for _, x in lines] == ["Head & line", "First bold text here next", "Second <b> é", "one", "two", "End"]
+
+
+@pytest.mark.parametrize("page", ["", "plain", "<p>a<p>b", "<div><p>a</div>b</p>c", "<nav>unclosed <p>a", "<script>x", "<!-- x", "a < b > c &am &#x41;", "<article></article>", "<p>" * 3000])
+def test_broken_pages(page):
+    lines, _ = htmltext.lines_of(page)
+    assert all(x == " ".join(x.split()) and x for _, x in lines)
+
+
+def test_lcs_against_dynamic_programming():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = htmltext.lcs(a, b)
+        assert len(found) == best[-1][-1]
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+
+
+def test_differencing_deletes_shared_lines(spark):
+    page = "<html><body><div>Site name</div><div>{0}</div><div>{1}</div><div>All rights</div></body></html>"
+    rows = [(i, f"http://a.example/x/{i}", page.format(f"text {i}", f"more {i}")) for i in range(40)]
+    rows += [(100, "http://b.example/1", "<div>alone</div><div>Site name</div>"), (101, None, None), (102, None, ""), (103, "http://[bad", "<p>x</p>"), (0, rows[0][1], rows[0][2])]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
+    out = htmltext.extract(spark, pages, part_bytes=500).collect()
+    assert len(out) == len(rows)
+    texts = {r["page_id"]: r["text"] for r in out}
+    assert all(texts[i] == f"text {i}\nmore {i}" for i in range(1, 40))
+    assert texts[100] == "alone\nSite name" and texts[101] == texts[102] == "" and texts[103] == "x"
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
+    assert htmltext.extract(spark, pages.limit(0)).collect() == []
+
+
+def test_article_paragraphs_are_safe(spark, sf):
+    docs = {" ".join(r["text"].split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op7_extract(spark, sf).collect():
+        assert " ".join(r["text"].split("\n", 1)[1].split()) in docs
+
+
+# Passages
+
+
+def test_passages_find_planted_repeats(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(400)}" for _ in range(n)]
+    exact, fuzzy, short = words(60), words(120), words(30)
+    texts = [" ".join(words(200)) for _ in range(30)]
+    planted = {}
+    for i in range(0, 8):
+        texts[i] = " ".join(words(50) + exact + words(50))
+        planted[i] = exact
+    for i in range(10, 16):
+        mutated = [w if rng.random() > 0.06 else "changed" for w in fuzzy]
+        texts[i] = " ".join(words(20) + mutated + words(80))
+    for i in range(20, 26):
+        texts[i] = " ".join(words(90) + short + words(90))
+    texts += [*AWKWARD[:8], "same " * 200, "same " * 300]
+    ids = [*range(len(texts) - 1), None]
+    rows = passages.find(spark, documents(spark, texts, ids)).collect()
+    found = {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
+    assert found == set(range(8)) | set(range(10, 16)) | {len(texts) - 2, None}
+    for r in rows:
+        assert r["similarity"] >= 0.8 and r["end"] - r["start"] >= 50
+        if r["doc_id"] in planted:
+            own = alnum(texts[r["doc_id"]])[r["start"] : r["end"]]
+            assert own == exact
+    assert passages.find(spark, documents(spark, [])).collect() == []
+    assert passages.find(spark, documents(spark, [texts[0], texts[0]], [1, 1])).collect() == []
+
+
+def test_chains_against_quadratic_search():
+    rng = random.Random(6)
+    for _ in range(60):
+        pts = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randint(1, 25))})
+        x, y = [p[0] for p in pts], [p[1] for p in pts]
+        score = []
+        for i in range(len(pts)):
+            best = max([score[j] - (x[i] - x[j] + y[i] - y[j]) / passages.GAP_WORDS for j in range(i) if x[j] < x[i] and y[j] < y[i]], default=0)
+            score.append(passages.K + max(0, best))
+        found = passages.chains(x, y)
+        assert sorted(i for c in found for i in c) == list(range(len(pts)))
+        top = found[0]
+        value = passages.K * len(top) - sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(top, top[1:], strict=False)) / passages.GAP_WORDS
+        assert value == pytest.approx(max(score))
+
+
+def test_common_is_longest_common_subsequence():
+    assert passages.common(list("abcbdab"), list("bdcaba")) == 4
+    assert passages.common([], [1]) == 0
+
+
+# Curriculum
+
+
+def test_mix_small_cases(spark):
+    texts = ["a b c", None, "d e f g h", "i j", "k", "k", "x " * 500]
+    sources = ["s1", "s1", "s2", None, "s3", "s3", "s2"]
+    docs = documents(spark, texts, ids=[1, 2, 3, None, 5, 5, 6], sources=sources)
+    rows = curriculum.mix(spark, docs).collect()
+    assert len(rows) == len(texts)
+    sizes = {s: sum(len(spaced(t)) for t, o in zip(texts, sources, strict=True) if o == s) for s in set(sources)}
+    total = sum(sizes.values())
+    taken = collections.Counter()
+    targets = {}
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        targets[r["source"]] = r["target"]
+    assert sum(targets.values()) == pytest.approx(total)
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+    # Water level: sources in code-point order weigh 1, 2, 3, then 1 for the null source.
+    weights = dict(zip(["s1", "s2", "s3", None], [1, 2, 3, 1], strict=True))
+    level = max(targets[s] / weights[s] for s in sizes)
+    assert all(targets[s] == pytest.approx(min(3 * sizes[s], level * weights[s])) for s in sizes)
+    assert sorted(map(str, rows)) == sorted(map(str, curriculum.mix(spark, docs).collect()))
+    assert curriculum.mix(spark, docs.limit(0)).collect() == []
+    assert [r["taken"] for r in curriculum.mix(spark, documents(spark, [None, ""])).collect()] == [0, 0]
+
+
+def test_positions_follow_the_schedule(spark, sf):
+    rows = curriculum.mix(spark, spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    placed = [r["position"] for r in rows if r["position"] is not None]
+    assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] <= 1
+    # Demand at each position equals what stands before the document.
+    from pyspark.sql import functions as F
+
+    for slope in (-0.5, 0.0, 0.5):
+        got = spark.range(11).select((F.col("id") / 10).alias("x")).select("x", curriculum.position(F.col("x") * 100, F.lit(100.0), F.lit(slope)).alias("t")).collect()
+        assert all(r["t"] + slope * (r["t"] - r["t"] ** 2) == pytest.approx(r["x"]) for r in got)
+
+
+def test_mix_stays_in_the_jvm(spark, sf):
+    plan = queries.op10_curriculum(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+# Pipeline
+
+
+def test_pipeline_against_its_parts(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    toxic = {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["predicted"]}
+    left = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in toxic}
+    ids = list(left)
+    lead = by_hand(ids, [fingerprint(left[i]) for i in ids])
+    left = {i: left[i] for k, i in enumerate(ids) if lead[k] == i}
+    from .test_row_operators import brute_windows
+
+    dirty = brute_windows(left.items(), bench)
+    left = {i: t for i, t in left.items() if not dirty[i][4]}
+    for i, t in left.items():
+        if spans := secrets.spans_of(t)[1]:
+            left[i] = secrets.masked(t, spans, "[secret]")
+    got = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {i: len(spaced(t)) for i, t in left.items()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "secret scans", "mixing"]
+    step = docs.limit(50)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf)
+        assert step.schema == docs.schema
+    assert decontam.remove(docs.limit(0), spark.createDataFrame([], "item_id long, text string")).collect() == []
