@@ -156,12 +156,10 @@ SCRIPT_SQL = {
 def shop(spark: SparkSession, sf_dir: str, names: set[str] | None = None) -> Session:
     """A session with the views registered; each view is a projection, so scans read only the columns a query names."""
     session = Session(spark)
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"raw_{table}")
     for name, (key, sql) in VIEWS.items():
         if names is None or name in names:
-            table = sql.rsplit(" ", 1)[1]
-            session.register(name, spark.sql(sql[: -len(table)] + f"raw_{table}"), key)
+            columns, table = sql.removeprefix("SELECT ").rsplit(" FROM ", 1)
+            session.register(name, spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*split_columns(columns)), key)
     for name, column in INDEXES:
         if name in session.external:
             session.sql(f"CREATE INDEX ON {name} ({column})")
@@ -261,8 +259,8 @@ def _heading(v: Value) -> str:
     return f"{v.func}({inner})" if v.func else inner
 
 
-def _view_columns(name: str) -> list[str]:
-    body = VIEWS[name][1].removeprefix("SELECT ").rsplit(" FROM ", 1)[0]
+def split_columns(body: str) -> list[str]:
+    """The expressions of a select list, split at commas outside parentheses."""
     depth, parts, last = 0, [], ""
     for c in body:
         depth += (c == "(") - (c == ")")
@@ -271,7 +269,12 @@ def _view_columns(name: str) -> list[str]:
             last = ""
         else:
             last += c
-    return [p.strip().rsplit(" ", 1)[-1] for p in [*parts, last]]
+    return [p.strip() for p in [*parts, last]]
+
+
+def _view_columns(name: str) -> list[str]:
+    body = VIEWS[name][1].removeprefix("SELECT ").rsplit(" FROM ", 1)[0]
+    return [p.rsplit(" ", 1)[-1] for p in split_columns(body)]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,12 @@ from .sources.store import COMPACT_FILES, Store, Stored
 from .sources.tables import MAX_RECORD, Table, check_limits, external
 
 
+#: Rows of an own table up to which its keys are held by the session.
+MAX_KEYS = 5_000_000
+#: Optimizer rules that place terms elsewhere than written.
+_PLACEMENT = ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in ("PushDownPredicates", "PushPredicateThroughNonJoin", "PushPredicateThroughJoin", "InferFiltersFromConstraints", "ReorderJoin"))
+
+
 @dataclass
 class Result:
     """Column headings and rows; both empty for statements that return none."""
@@ -40,7 +46,10 @@ class Pending:
 class Session:
     """deterministic: bare rows in key order, groups in order of first appearance.
 
-    join_algorithm, access_path and vectorized change plans, never answers.
+    The switches change plans, never answers: join_algorithm (see JOIN_ALGORITHMS);
+    access_path "auto", "scan" (no filter pushdown into files) or "index";
+    literal_planning (terms stay where they are written); batch_rows (None: Spark's
+    own; 0: a row at a time; n: rows of a columnar batch).
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, durability: str = "full", deterministic: bool = False, strict_limits: bool = True):
@@ -53,6 +62,9 @@ class Session:
         self.in_transaction = False
         self.join_algorithm = "auto"
         self.access_path = "auto"
+        self.literal_planning = False
+        self.batch_rows: int | None = None
+        self._switched: set[str] = set()
         self.last_plan: Step | None = None
 
     def __enter__(self) -> Session:
@@ -178,12 +190,44 @@ class Session:
         return lower(statement, bound, lambda name: self._source(name, by_name[name]), self.join_algorithm, self.deterministic)
 
     def _select(self, statement: Select) -> DataFrame:
-        pushdown = "false" if self.access_path == "scan" else "true"
-        if self.spark.conf.get("spark.sql.parquet.filterPushdown") != pushdown:
-            self.spark.conf.set("spark.sql.parquet.filterPushdown", pushdown)
+        self._apply_switches()
         self.last_plan = self.plan(statement)
         return self.last_plan.df
 
+    def _apply_switches(self) -> None:
+        wanted: dict[str, str] = {}
+        if self.access_path == "scan":
+            wanted["spark.sql.parquet.filterPushdown"] = "false"
+        if self.literal_planning:
+            wanted["spark.sql.optimizer.excludedRules"] = _PLACEMENT
+        if self.batch_rows == 0:
+            wanted |= {"spark.sql.codegen.wholeStage": "false", "spark.sql.parquet.enableVectorizedReader": "false"}
+        elif self.batch_rows:
+            wanted["spark.sql.parquet.columnarReaderBatchSize"] = str(self.batch_rows)
+        for key in self._switched - wanted.keys():
+            self.spark.conf.unset(key)
+        for key, value in wanted.items():
+            self.spark.conf.set(key, value)
+        self._switched = set(wanted)
+
+    # The catalog's own questions.
+
+    def scan_table(self, name: str, visit) -> None:
+        """Calls visit(row) for every row, in key order, a partition at a time."""
+        source = self._source(name)
+        df = source.df.orderBy(f"`{source.key}`") if source.key else source.df
+        for row in df.toLocalIterator():
+            visit(tuple(row))
+
+    def index_bounds(self, name: str, column: str) -> tuple | None:
+        """Smallest and largest value of a column, None if it has none; from file statistics where Spark pushes it down."""
+        low, high = self._source(name).df.agg(F.min(f"`{column}`"), F.max(f"`{column}`")).first()
+        return None if low is None else (low, high)
+
+    def count_index(self, name: str, column: str, low, high, most: int) -> int:
+        """Rows with low <= column <= high, counted no further than `most`."""
+        return self._source(name).df.filter(F.col(f"`{column}`").between(low, high)).limit(most).count()
+
     def explain_last(self, estimates: bool = False, physical: bool = False) -> str:
         return explain.text(self.last_plan, estimates, physical)
 
@@ -230,20 +274,22 @@ class Session:
             raise ExecError("the key column (column 0) must be a non-null INT64")
         if self.strict_limits and _record_bytes(row, columns) > MAX_RECORD:
             raise LimitError("record too large for a page")
-        keys = self._keys(s.table)
-        if row[0] in keys:
+        if self._has_key(s.table, row[0]):
             raise ExecError(f"duplicate key: {s.table} already has a row with {columns[0].name} = {row[0]}")
-        keys.add(row[0])
+        self.keys[s.table].add(row[0])
         self.own[s.table].rows.append(row)
 
-    def _keys(self, name: str) -> set[int]:
-        """The keys of an own table, read once per session: an INSERT needs no Spark job."""
+    def _has_key(self, name: str, key: int) -> bool:
+        """Keys of a table of up to MAX_KEYS rows are read once, so an INSERT needs no Spark job; larger tables are asked."""
+        stored = self.own[name].stored
+        column = F.col(f"`{stored.columns[0].name}`")
         if name not in self.keys:
-            key = self.own[name].stored.columns[0].name
-            df = self.store.frame(name, self.own[name].stored).select(F.col(f"`{key}`"))
-            self.keys[name] = {r[0] for r in df.toLocalIterator()}
-            self.keys[name] |= {r[0] for r in self.own[name].rows}
-        return self.keys[name]
+            self.keys[name] = {r[0] for r in self.own[name].rows}
+            if stored.files and stored.rows <= MAX_KEYS:
+                self.keys[name] |= {r[0] for r in self.store.frame(name, stored).select(column).toLocalIterator()}
+        if key in self.keys[name]:
+            return True
+        return stored.rows > MAX_KEYS and bool(self.store.frame(name, stored).filter(column == key).limit(1).count())
 
     def _commit(self) -> None:
         if self.store is None:
@@ -255,11 +301,10 @@ class Session:
         for name, p in self.own.items():
             stored = p.stored
             if p.rows:
-                files, rows = list(stored.files), p.rows
-                if len(files) >= COMPACT_FILES:  # many small commits become one file
-                    rows = [tuple(r) for r in self.store.frame(name, stored).collect()] + rows
-                    files = []
-                files.append(self.store.write(name, stored, rows, stored.columns[0].name))
+                files = list(stored.files)
+                if len(files) >= COMPACT_FILES:  # many small commits become one folder, in the executors
+                    files = [self.store.rewrite(name, stored, stored.columns[0].name)]
+                files.append(self.store.write(name, stored, p.rows, stored.columns[0].name))
                 stored = _changed(stored, files=files, rows=stored.rows + len(p.rows), clustered={})
             after[name] = stored
         self.store.commit(after)
@@ -270,8 +315,7 @@ class Session:
         stored = self.own[name].stored
         if column not in stored.indexed:
             raise ExecError(f"column {name}.{column} has no index")
-        rows = [tuple(r) for r in self.store.frame(name, stored).collect()]
-        path = self.store.write(name, stored, rows, column)
+        path = self.store.rewrite(name, stored, column)
         self.own[name].stored = _changed(stored, clustered={**stored.clustered, column: path})
         self._commit()
 
