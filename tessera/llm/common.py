@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,8 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _malloc_trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _malloc_trim = None
+
 #: Text bytes handled at once by the vectorised code (bounds worker memory).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +70,12 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system, where the C library can."""
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,8 @@ Everything moves forward through hash-partitioned tables; no side is broadcast
 but the scalars and the words too frequent for one partition.
 
 1. Unigrams: each chunk of documents sends its distinct words with their counts
-   to partitions by word; the merged counts are stored as a table.
+   to partitions by word; the merged counts are stored as a table until what
+   the next step needs of them is read.
 2. Bigrams: each chunk sends its distinct bigrams, with the documents they stand
    in, to partitions by second word, where c(w) and c(h,w) are complete. Words
    that alone would fill a partition are dealt by bigram instead, and their
@@ -39,17 +40,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Scratch, held_out, join_hashes, text_blocks, word_hashes, words
+from .common import LOWER, SPACED, Scratch, held_out, join_hashes, text_blocks, trim, word_hashes, words
 from .packed import pack, unpack
 
 #: Counts up to CUT get Good-Turing discounts; larger ones keep all but a sliver, so that every context has mass to give.
 CUT = 5
 LARGE = 0.999
 #: Tokens aimed at per partition, and bytes of text per chunk.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_750_000
 CHUNK_BYTES = 16 << 20
+#: Contexts are named by 48 bits of their word's hash: three quarters of the bytes, and still no collisions to speak of.
+CONTEXT = np.uint64((1 << 48) - 1)
 #: Hashes that stand for the end and the start of a text.
-END, START = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0xC2B2AE3D27D4EB4F)
+END, START = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0x0000AE3D27D4EB4F)
 
 
 class Chunk:
@@ -68,7 +71,7 @@ class Chunk:
         token = np.full(len(starts) + n, END, np.uint64)
         token[np.arange(len(starts)) + rows] = word_hashes(low, starts, ends)
         counts = np.bincount(rows, minlength=n) + 1
-        self.parts.append((token, np.repeat(np.arange(n) + self.docs, counts), counts))
+        self.parts.append((token, np.repeat(np.arange(self.docs, self.docs + n, dtype=np.int32), counts), counts))
         self.ids += batch.column(0).to_pylist()
         self.out += batch.column(1).to_pylist()
         self.docs += n
@@ -77,8 +80,9 @@ class Chunk:
     def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """token, context, document of each position; tokens and training flag of each document."""
         token, doc, counts = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        self.parts.clear()
         context = np.empty_like(token)
-        context[1:] = token[:-1]
+        context[1:] = token[:-1] & CONTEXT
         context[np.concatenate([[0], np.cumsum(counts)[:-1]])] = START
         return token, context, doc, counts, ~np.array(self.out, bool)
 
@@ -121,6 +125,8 @@ def _word_counts(parts: int):
             where = _part(word, parts)
             order = np.argsort(where, kind="stable")
             rows = [(p, number, pack(word[order[a:b]], count[order[a:b]])) for p, a, b in _slices(where[order])]
+            del token, doc, word, inverse
+            trim()
             if rows:
                 yield _rows(rows, ("key", "chunk", "blob"))
 
@@ -135,10 +141,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple) -> Iterator[tupl
             if row[0] != current and held:
                 yield current, held
                 held = []
+                trim()
             current = row[0]
             held.append(row[1:])
     if held:
         yield current, held
+        trim()
 
 
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +175,11 @@ def _bigrams(parts: int, hot: np.ndarray):
             order = np.argsort(pair, kind="stable")
             order = order[np.argsort(token[order], kind="stable")]
             order = order[np.argsort(where[order], kind="stable")]
-            token, context, pair, where = token[order], context[order], pair[order], where[order]
-            code = (doc[order] * 2 + train[doc[order]]).astype(np.uint64)
+            where, pair = where[order], pair[order]
+            token, context = token[order], context[order]
+            doc = doc[order]
+            code = doc.astype(np.uint32) * np.uint32(2) + train[doc]
+            del order, doc
             ids = np.array([0 if i is None else i for i in chunk.ids], np.int64)
             null = np.array([i is None for i in chunk.ids], np.uint8)
             rows = [(number % parts, number, b"D" + pack(ids, null, train.astype(np.uint8), counts.astype(np.uint64)))]
@@ -178,6 +189,8 @@ def _bigrams(parts: int, hot: np.ndarray):
                 own = token[a:b][new]
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 rows.append((p, number, b"B" + pack(own[first], np.diff(np.append(first, len(own))).astype(np.uint64), context[a:b][new], times, code[a:b])))
+            del token, context, pair, where, code
+            trim()
             for lo in range(0, len(rows), 16):
                 yield _rows(rows[lo : lo + 16], ("key", "chunk", "blob"))
 
@@ -199,12 +212,13 @@ def _count_bigrams(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
             token = np.concatenate([np.repeat(a[0].astype(np.uint64), a[1].astype(np.int64)) for a in arrays])
             context = np.concatenate([a[2].astype(np.uint64) for a in arrays])
             times = np.concatenate([a[3].astype(np.int64) for a in arrays])
-            code = np.concatenate([a[4].astype(np.int64) for a in arrays])
+            code = np.concatenate([a[4].astype(np.uint32) for a in arrays]).astype(np.int32)
             sizes = [len(a[4]) for a in arrays]
             del arrays
             begin = np.concatenate([[0], np.cumsum(times)[:-1]])
             trained = np.add.reduceat(code & 1, begin)
             _, one, pair = np.unique(join_hashes(token, context), return_index=True, return_inverse=True)
+            pair = pair.astype(np.int32)
             c2 = np.bincount(pair, weights=trained).astype(np.int64)
             word, back = np.unique(token, return_inverse=True)
             c1 = np.bincount(back, weights=trained, minlength=len(word)).astype(np.int64)
@@ -217,7 +231,7 @@ def _count_bigrams(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
 
             # Contexts: of each distinct trained bigram, by classes of both counts.
             live = np.flatnonzero(c2)
-            h, n2, n1 = context[one[live]], c2[live], c1[back[one[live]]]
+            h, n2, n1 = context[one[live]], c2[live].astype(np.int64), c1[back[one[live]]].astype(np.int64)
             cls = np.minimum(n2, CUT + 1) * (CUT + 2) + np.minimum(n1, CUT + 1)
             order = np.lexsort((cls, h))
             h, n2, n1, cls = h[order], n2[order], n1[order], cls[order]
@@ -235,7 +249,10 @@ def _count_bigrams(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
 
             # Documents: contributions by position, summed per chunk and document.
             at = 0
-            event = np.repeat(np.arange(len(times)), times)
+            unseen: list[tuple] = []
+            masked = np.sort(hot & CONTEXT)
+            event = np.repeat(np.arange(len(times), dtype=np.int32), times)
+            c2, c1 = c2.astype(np.int32), c1.astype(np.int32) if c1.max(initial=0) < 1 << 31 else c1
             e2, e1 = c2[pair][event], c1[back][event]
             end = (token == END)[event]
             for (chunk, _), size in zip(rows, sizes, strict=True):
@@ -253,15 +270,19 @@ def _count_bigrams(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
                 lost = np.flatnonzero(~seen)
                 if len(lost):
                     h, d = context[event[s][lost]], code[s][lost] >> 1
-                    often = np.zeros(len(h), bool)
+                    often = h == START
                     if len(hot):
-                        often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                    often |= h == START
-                    where = np.where(often, parts, _part(h, parts))
-                    order = np.argsort(where, kind="stable")
-                    for p, a, b in _slices(where[order]):
-                        i = order[a:b]
-                        out.append(("often" if p == parts else "unseen", p, chunk, pack(h[i], d[i].astype(np.uint64))))
+                        often |= masked[np.minimum(np.searchsorted(masked, h), len(hot) - 1)] == h
+                    if often.any():
+                        out.append(("often", 0, chunk, pack(h[often], d[often].astype(np.uint64))))
+                    unseen.append((h[~often], d[~often], np.full(len(h) - often.sum(), chunk)))
+            if unseen:
+                h, d, of = (np.concatenate([u[i] for u in unseen]) for i in range(3))
+                where = _part(h, parts)
+                order = np.argsort(where, kind="stable")
+                for p, a, b in _slices(where[order]):
+                    i = order[a:b]
+                    out.append(("unseen", p, 0, pack(h[i], d[i].astype(np.uint64), of[i].astype(np.uint64))))
             for lo in range(0, len(out), 256):
                 yield _rows(out[lo : lo + 256])
 
@@ -296,22 +317,23 @@ def _back_off(d1: np.ndarray, d2: np.ndarray, total: int, hot: np.ndarray):
     """Rows of contexts and of unseen bigrams by context: sums by chunk; alphas of frequent contexts as kind 'alpha'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, ("key", "kind", "chunk", "blob")):
-            own = [unpack(blob) for kind, _, blob in rows if kind == "context"]
+        for _, rows in _grouped(batches, ("key", "kind", "blob")):
+            own = [unpack(blob) for kind, blob in rows if kind == "context"]
             if not own:
                 continue
             context, value = _log_alpha(own, d1, d2, total)
             out = []
-            wanted = np.append(hot, START)
+            wanted = np.append(hot & CONTEXT, START)
             found = np.isin(wanted, context)
             if found.any():
                 out.append(("alpha", 0, 0, pack(wanted[found], value[np.searchsorted(context, wanted[found])])))
-            by_chunk: dict[int, list] = {}
-            for kind, chunk, blob in rows:
-                if kind == "unseen":
-                    by_chunk.setdefault(chunk, []).append(unpack(blob))
-            for chunk, arrays in by_chunk.items():
-                out.append(("more", chunk, chunk, _added(arrays, context, value)))
+            lost = [unpack(blob) for kind, blob in rows if kind == "unseen"]
+            if lost:
+                h, d, of = (np.concatenate([a[i] for a in lost]) for i in range(3))
+                order = np.argsort(of, kind="stable")
+                for chunk, a, b in _slices(of[order].astype(np.int64)):
+                    i = order[a:b]
+                    out.append(("more", chunk, chunk, _added([[h[i], d[i]]], context, value)))
             for lo in range(0, len(out), 256):
                 yield _rows(out[lo : lo + 256])
 
@@ -407,6 +429,7 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, remainder: int
     hot = np.array([r["word"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_counts = hot[order], np.array([r["n"] for r in often], np.int64)[order]
+    scratch.drop(counted)
     del counted
 
     bigrams = scratch.cut(_sorted_by_key(df.mapInArrow(_bigrams(parts, hot), "key bigint, chunk bigint, blob binary"), parts).mapInArrow(_count_bigrams(parts, hot, hot_counts), columns), by="kind")
@@ -414,7 +437,7 @@ def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, remainder: int
     small = [unpack(r["blob"])[0] for r in bigrams.filter("kind = 'stats'").select("blob").toLocalIterator()]
     d2 = discounts(np.sum(small, axis=0).tolist() if small else [0] * (CUT + 1))
 
-    kept = bigrams.filter("kind in ('context', 'unseen')").select("key", "kind", "chunk", "blob")
+    kept = bigrams.filter("kind in ('context', 'unseen')").select("key", "kind", "blob")
     backed = scratch.cut(_sorted_by_key(kept, parts).mapInArrow(_back_off(d1, d2, total, hot), columns), by="kind")
     alphas = [unpack(r["blob"]) for r in backed.filter("kind = 'alpha'").select("blob").toLocalIterator()]
     context, value = (np.concatenate([a[i] for a in alphas]) if alphas else np.zeros(0) for i in (0, 1))

@@ -10,7 +10,8 @@ import struct
 import numpy as np
 import zstandard
 
-_KINDS = ("u1", "u2", "u4", "u8", "i4", "i8", "f8")
+#: u6: eight-byte values of which six bytes are stored.
+_KINDS = ("u1", "u2", "u4", "u6", "u8", "i4", "i8", "f8")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -21,8 +22,11 @@ def pack(*arrays: np.ndarray) -> bytes:
             top = int(a.max())
             a = a.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
         kind = a.dtype.str[1:]
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+        if kind == "u8" and len(a) and top < 1 << 48:
+            kind, planes = "u6", planes[:6]
         head.append(struct.pack("<BQ", _KINDS.index(kind), len(a)))
-        body.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+        body.append(planes.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
 
 
@@ -33,8 +37,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out = []
     for i in range(n):
         kind, size = struct.unpack_from("<BQ", raw, 1 + 9 * i)
-        dtype = np.dtype(_KINDS[kind])
-        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype) if size else np.zeros(0, dtype))
-        at += size * dtype.itemsize
+        name = _KINDS[kind]
+        dtype, stored = np.dtype("u8" if name == "u6" else name), int(name[1])
+        planes = np.zeros((size, dtype.itemsize), np.uint8)
+        planes[:, :stored] = np.frombuffer(raw, np.uint8, size * stored, at).reshape(stored, size).T
+        out.append(planes.reshape(-1).view(dtype) if size else np.zeros(0, dtype))
+        at += size * stored
     return out
