@@ -37,7 +37,8 @@ PART_BYTES = 16 << 20
 MAX_PARTS = 32768
 KEYS_PER_PART = 4
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Attributes: quoted values may hold >; where quotes do not close, the tag ends at the first >.
+_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
@@ -86,6 +87,9 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
     buffer: list[str] = []
     safe_at = -1
     at, n = 0, len(page)
+    if (open_comment := page.find("<!--", page.rfind("-->") + 1)) >= 0 and page.find("-->", open_comment) < 0:
+        n = open_comment  # it hides the rest
+    last = page.rfind(">", 0, n) + 1  # no tag ends later
 
     def flush() -> None:
         nonlocal buffer
@@ -102,7 +106,7 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
         safe_at = -1 if safe_at >= depth else safe_at
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         text = page[at : m.start() if m else n]
         if text and skip < 0:
             buffer.append(text)
