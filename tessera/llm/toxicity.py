@@ -30,7 +30,7 @@ from .common import BLOCK_BYTES, LOWER, held_out, text_blocks, word_hashes, word
 
 #: Bound on the labelled rows per class that training reads, and on the bytes of all their texts.
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 16 << 20
 BUCKETS = 1 << 17
 DIM = 4
 NGRAMS = (3, 4, 5)
@@ -154,23 +154,29 @@ def train(texts: list[bytes], toxic: np.ndarray, buckets: int = BUCKETS, dim: in
     parts = []
     for lo, hi in _blocks(offs):
         _, s, e, r, h = _tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        parts.append((s + offs[lo], e + offs[lo], r + lo, h))
+        parts.append(((s + offs[lo]).astype(np.int32), (e + offs[lo]).astype(np.int32), (r + lo).astype(np.int32), h))
     starts, ends, rows, hashes = (np.concatenate([x[i] for x in parts]) for i in range(4))
+    del parts
     low = LOWER[data]
     # Distinct words, and how often each stands in each text; words of a single text teach nothing.
     _, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
     length = np.maximum(np.bincount(rows, minlength=len(y)), 1)
-    cell, tf = np.unique(rows * len(at) + ids, return_counts=True)
-    doc, term = cell // len(at), cell % len(at)
+    del hashes
+    cell, tf = np.unique(rows.astype(np.int64) * len(at) + ids, return_counts=True)
+    doc, term = (cell // len(at)).astype(np.int32), (cell % len(at)).astype(np.int32)
+    del cell, ids, rows
     shared = np.bincount(term, minlength=len(at)) > 1
     keep = shared[term]
-    doc, tf, term = doc[keep], tf[keep], (np.cumsum(shared) - 1)[term[keep]]
+    doc, tf, term = doc[keep], tf[keep], (np.cumsum(shared) - 1).astype(np.int32)[term[keep]]
     at = at[shared]
-    pairs = list(subwords(low, starts[at], ends[at], buckets))
+    starts, ends = starts[at].astype(np.int64), ends[at].astype(np.int64)
+    pairs = [(w.astype(np.int32), b.astype(np.int32)) for w, b in subwords(low, starts, ends, buckets)]
     if not pairs:
         return Model(np.zeros(1), 0.0, None, prior if share is None else share)
     word, bucket = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    del pairs, starts, ends, low
     used, bucket = np.unique(bucket, return_inverse=True)
+    bucket = bucket.astype(np.int32)
     vocabulary = at
     weight = (1 / np.bincount(word, minlength=len(vocabulary)))[word].astype(np.float32)
     part = (tf / length[doc]).astype(np.float32)
@@ -251,14 +257,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     ids = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body")).filter("body is not null")
     # The ids are at most 4 * sample_rows rows of two numbers: a proven bound for the broadcast.
-    found = texts.join(F.broadcast(ids), "id").select("id", "y", "body", F.octet_length("body").alias("size"))
-    rows = [found.filter(F.col("y") == k).orderBy(order, F.xxhash64("body")).limit(sample_rows) for k in (0, 1)]
-    part = rows[0].unionByName(rows[1])
-    sample, total = [], 0
-    for r in sorted(part.toLocalIterator(), key=lambda r: (r["id"] * 2654435761 % (1 << 32), r["id"], r["body"])):
+    found = texts.join(F.broadcast(ids), "id").select("id", "y", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size"), "body")
+    # First which rows, without their texts, as each task sends its own best; then the texts of those.
+    sizes = found.select("id", "y", "h", "size")
+    light = [r for k in (0, 1) for r in sizes.filter(F.col("y") == k).orderBy(order, "h").limit(sample_rows).collect()]
+    picked, total = {}, 0
+    for r in sorted(set(light), key=lambda r: (r["id"] * 2654435761 % (1 << 32), r["id"], r["h"], r["y"])):
         if total + r["size"] <= sample_bytes:
             total += r["size"]
-            sample.append((r["body"].encode(), r["y"]))
+            picked[r["id"], r["h"], r["y"]] = b""
+    if picked:
+        keys = docs.sparkSession.createDataFrame(list({(i, h) for i, h, _ in picked}), "id long, h long")
+        for r in texts.withColumn("h", F.xxhash64("body")).join(F.broadcast(keys), ["id", "h"]).select("id", "h", "body").toLocalIterator():
+            for k in (0, 1):
+                if (r["id"], r["h"], k) in picked:
+                    picked[r["id"], r["h"], k] = r["body"].encode()
+    sample = [(body, y) for (_, _, y), body in picked.items()]
     return train([t for t, _ in sample], np.array([y for _, y in sample]), share=share)
 
 
