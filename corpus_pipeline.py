@@ -60,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else scratch.cut(out)
+        if i < len(STAGES) - 1:
+            before, out = docs, scratch.cut(out)
+            scratch.drop(before)  # the stage's input, once its output is written
+        docs = out
     return docs
