@@ -285,6 +285,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     kept = scratch.cut(lead.groupBy("root", "row").count().groupBy("root").agg(F.min(F.struct("row", "count")).alias("one")).select("one.row", "one.count"))
     names = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*names, F.xxhash64(whole).alias("__row"))
-    once = rows.join(kept.filter("count = 1").select(F.col("row").alias("__row")), "__row", "left_semi")
-    copies = rows.join(kept.filter("count > 1").select(F.col("row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"])
-    return once.unionByName(copies).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    # A merge join at every size: whether the kept rows could be broadcast depends on the input, and they grow with it.
+    names_of = lambda t: kept.filter(t).select(F.col("row").alias("__row")).hint("merge")
+    stay = rows.join(names_of("count = 1"), "__row", "left_semi")
+    if kept.filter("count > 1").limit(1).count():  # rows equal in every column: one of them
+        stay = stay.unionByName(rows.join(names_of("count > 1"), "__row", "left_semi").dropDuplicates(["__row"]))
+    return stay.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
