@@ -1,7 +1,7 @@
 """A training-data pipeline over the documents table: filter, dedup, clean, mix.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
-all but the last return the columns of documents.
+all return the columns of documents, the last with the training positions.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training position and words taken of every document, range-sorted by position."""
+    """The documents with their training positions and words taken, range-sorted by first position."""
     return curriculum.mix(spark, docs)
 
 

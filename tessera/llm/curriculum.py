@@ -5,8 +5,9 @@ the mix times 1 + a(1 - 2t), where a > 0 puts it early and a < 0 late. The
 schedule integrates to the share, so the cumulative token demand of a source is
 target * (t + a(t - t^2)). A source's documents stand in the order of their
 hash; the k-th token it supplies is wanted when the demand reaches k, and
-inverting the demand gives each document its training position. Documents are
-then range-sorted by position.
+inverting the demand gives each document its training position, one for every
+pass that takes words of it. Documents, with their texts and all other columns,
+are then range-sorted by the first position.
 
 Shares: sources in code-point order (null last) weigh `weights`, repeating, and
 share all tokens; a target stops at `most` times its source's size and the rest
@@ -16,12 +17,14 @@ its taken words equal its rounded target, and no document exceeds `most` passes.
 
 Running totals inside a source go by hash bucket: sums per bucket, then totals
 inside a bucket, so a source with a third of all rows spreads over BUCKETS
-groups. Only per-source sums are ever ordered in one task.
+groups. Only per-source sums are ever ordered in one task. Texts wait in the
+shared folder meanwhile and join their places by row number.
 
 Defined cases: null text has size 0 and takes nothing; null sources form one
 source; null doc_ids order as the word null; repeated rows share one place in
 the order and are told apart arbitrarily, which leaves the returned rows the
-same; an empty table returns no row; zero total gives targets of zero.
+same; an empty table returns no row; zero total gives targets of zero; an input
+column named like a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -84,14 +87,28 @@ def position(demand: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position: the documents range-sorted by first training position.
+    """doc_id, source, size, source_size, target, taken, position, positions and the other columns of docs: the documents range-sorted by first training position.
 
-    position is null for documents the mix takes nothing of; further passes over
-    a document stand at the positions of before + pass * source_size.
+    positions has the position of each pass that takes words of the document, in
+    order; position is the first of them, null for documents the mix takes nothing of.
     """
     scratch = Scratch(spark)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    sized = scratch.cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
+    made = ("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
+    others = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in made}
+    # Row numbers hold, as they are written with the rows.
+    held = scratch.cut(
+        docs.select(
+            *(F.col(f"`{c}`").alias(k) for k, c in others.items()),
+            "doc_id",
+            F.col("source").cast("string").alias("source"),
+            word_count(F.col("text").cast("string")).alias("size"),
+            key.alias("key"),
+            F.substring(key, 1, BUCKET_DIGITS).alias("bucket"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    sized = held.drop(*others)
     targets = source_targets(sized, weights, slopes, most)
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -100,16 +117,21 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, slopes:
     facts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), starts["bucket"].alias("b"), "start", "source_size", "target", "slope")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ordered = sized.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("offset"))
-    placed = ordered.join(facts, ordered["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "key", "size", "source_size", "target", "slope", (F.col("start") + F.col("offset")).alias("before"))
+    placed = ordered.join(facts, ordered["source"].eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("row", "doc_id", "source", "key", "size", "source_size", "target", "slope", (F.col("start") + F.col("offset")).alias("before"))
     budget = F.floor(F.col("target") + 0.5)
     whole = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
-    rest = budget - F.col("whole") * F.col("source_size")
-    taken = (F.col("size") * F.col("whole") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))).cast("long")
-    out = placed.withColumn("whole", whole).withColumn("taken", taken)
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("whole") * F.col("source_size") - F.col("before"))).cast("long")
+    out = placed.withColumn("whole", whole).withColumn("rest", rest).withColumn("taken", F.col("size") * F.col("whole") + F.col("rest"))
+    passes = F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)
+    at = F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda n: position(F.col("before") + n * F.col("source_size"), F.col("target"), F.col("slope")))
+    out = out.withColumn("positions", F.when(F.col("taken") > 0, at).otherwise(F.array().cast("array<double>")))
     out = out.withColumn("position", F.when(F.col("taken") > 0, position(F.col("before"), F.col("target"), F.col("slope"))))
     # Documents not taken follow after the end, spread by their hash.
     place = F.coalesce(F.col("position"), 1.0 + F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32)
-    return out.withColumn("place", place).repartitionByRange("place", "key").sortWithinPartitions("place", "key").select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    out = out.withColumn("place", place)
+    if others:
+        out = out.join(held.select("row", *others), "row")
+    return out.repartitionByRange("place", "key").sortWithinPartitions("place", "key").select(*made, *(F.col(k).alias(c) for k, c in others.items()))
 
 
 ORACLE_SQL = r"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 import random
 
@@ -359,6 +360,30 @@ def test_positions_follow_the_schedule(spark, sf):
         assert all(r["t"] + slope * (r["t"] - r["t"] ** 2) == pytest.approx(r["x"]) for r in got)
 
 
+def test_mix_carries_documents_and_every_pass(spark):
+    texts = ["a b c", None, "d e f g h", "i j", "k", "x y " * 200, ""]
+    docs = documents(spark, texts, sources=["s1", "s2", "s2", "s3", "s3", "s4", "s4"])
+    given = {r["doc_id"]: r for r in docs.collect()}
+    rows = curriculum.mix(spark, docs).collect()
+    assert set(docs.columns) < set(rows[0].asDict())
+    assert max(len(r["positions"]) for r in rows) == 3
+    slope = dict(zip(["s1", "s2", "s3", "s4"], [*curriculum.SLOPES, curriculum.SLOPES[0]], strict=True))
+    before = collections.Counter()
+    for r in sorted(rows, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+        assert {c: r[c] for c in docs.columns} == given[r["doc_id"]].asDict()
+        budget, n, taken = math.floor(r["target"] + 0.5), before[r["source"]], 0
+        demands = []
+        while n < budget and r["size"]:
+            demands.append(n)
+            taken += min(r["size"], budget - n)
+            n += r["source_size"]
+        before[r["source"]] += r["size"]
+        assert r["taken"] == taken and len(r["positions"]) == len(demands)
+        assert r["position"] == (r["positions"][0] if demands else None)
+        for t, demand in zip(r["positions"], demands, strict=True):
+            assert r["target"] * (t + slope[r["source"]] * (t - t**2)) == pytest.approx(demand)
+
+
 def test_mix_stays_in_the_jvm(spark, sf):
     plan = queries.op10_curriculum(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
@@ -367,6 +392,17 @@ def test_mix_stays_in_the_jvm(spark, sf):
 # Pipeline
 
 
+def test_pipeline_returns_the_cleaned_texts(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert rows
+    for r in rows:
+        text = docs[r["doc_id"]]
+        spans = secrets.spans_of(text)[1]
+        assert r["text"] == (secrets.masked(text, spans, "[secret]") if spans else text)
+        assert r["size"] == len(spaced(r["text"]))
+
+
 def test_pipeline_against_its_parts(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
