@@ -6,6 +6,9 @@ hex candidates are decoded and must parse as a key encoding (DER with nested
 lengths that fill it exactly, or an SSH wire key whose length fields do) or as
 a signed token (base64url JSON header that names an algorithm, JSON payload).
 
+Lines of code between PEM markers may be indented and of any length. A run of
+lines may hold several keys; each is reported.
+
 A byte-level test decides cheaply whether a text can hold a kind at all; only
 then its pattern runs. Everything is per row: no shuffle, whole texts.
 
@@ -20,6 +23,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: The order of kinds that start at one place.
 KINDS = ("assign", "access", "hex", "signed_token", "private_key", "public_key", "certificate")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Shortest header of a token: {"alg":""} in base64url.
+HEADER = 14
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----\s*+(?:[A-Za-z0-9-]+:[^\n]*+\n\s*+)*+([A-Za-z0-9+/\s]++={0,2})\s*+-----END ")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
 ANYHEX = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 #: Shortest run of base64 or hex characters worth decoding.
@@ -174,9 +181,21 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 def confirmed_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
     """Spans of the structural kinds."""
     out = []
-    if b"eyJ" in raw:
-        out += [("signed_token", m.start(), m.end()) for m in TOKEN.finditer(text) if token_ok(m[0])]
-    if raw.translate(_CODE_TABLE).find(b"1" * RUN) < 0:
+    code = raw.translate(_CODE_TABLE)
+    if b"." in raw and code.find(b"1" * HEADER) >= 0:
+        at = 0
+        while m := TOKEN.search(text, at):
+            if token_ok(m[0]):
+                out.append(("signed_token", m.start(), m.end()))
+                at = m.end()
+            else:
+                at = m.end(1) + 1  # the second part may be a header
+    if b"-----BEGIN " in raw:
+        for m in PEM.finditer(text):
+            data = decoded(m[1])
+            if data and (kind := der_kind(data) or ssh_kind(data)):
+                out.append((kind, m.start(1), m.start(1) + len(m[1].rstrip())))
+    if code.find(b"1" * RUN) < 0:
         return out
     for m in ANYHEX.finditer(text):
         data = bytes.fromhex(m[0])
@@ -187,33 +206,64 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
             continue
         # A run of lines may begin or end with plain words: any first and last line may bound the code.
         lines = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"\S+", m[0])]
-        if (found := _best_lines(text, lines)) is not None:
-            out.append(found)
+        out += [x for x in _keys_of_lines(text, lines) if x not in out]
     return out
 
 
-def _best_lines(text: str, lines: list[tuple[int, int]]) -> tuple[str, int, int] | None:
-    """The first run of lines that decodes to a key; its length field says where it must end."""
-    for i in range(len(lines)):
-        head = decoded(text[lines[i][0] : lines[i][1]][:64][: 64 - 64 % 4][:16])
-        if not head or head[0] != 0x30 and not head.startswith((b"openssh", b"\0\0\0")):
-            continue
-        if head[0] == 0x30 and len(head) > 3:
+def _ssh_size(code: str, at: int) -> int | None:
+    """Bytes of the SSH key whose code begins at a place, by its length fields."""
+
+    def number(where: int) -> int | None:
+        data = decoded(code[at + where // 3 * 4 :][:8]) if at + where // 3 * 4 < len(code) else None
+        data = (data or b"")[where % 3 :][:4]
+        return int.from_bytes(data, "big") if len(data) == 4 else None
+
+    head = decoded(code[at : at + 40]) or b""
+    if head.startswith(OPENSSH):
+        where, kinds, keys = len(OPENSSH), "fff#", None
+    elif name := next((x for x in SSH_NAMES if head.startswith(len(x).to_bytes(4, "big") + x)), None):
+        where, kinds, keys = 0, "f" * (5 if name == b"ssh-dss" else 2 if name == b"ssh-ed25519" else 3), 0
+    else:
+        return None
+    for kind in kinds:
+        if (size := number(where)) is None:
+            return None
+        where += 4 + (size if kind == "f" else 0)
+        keys = size if kind == "#" else keys
+    if head.startswith(OPENSSH):
+        for _ in range(keys + 1):  # public keys, and the private part
+            if (size := number(where)) is None:
+                return None
+            where += 4 + size
+    return where
+
+
+def _keys_of_lines(text: str, lines: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The keys that runs of the lines decode to; a key's length fields say where it must end."""
+    code = "".join(text[a:b] for a, b in lines)
+    first = [0]
+    for a, b in lines:
+        first.append(first[-1] + b - a)
+    out, i = [], 0
+    while i < len(lines):
+        head = decoded(code[first[i] : min(first[i] + 16, first[i + 1])][:16])
+        need = None
+        if head and head[0] == 0x30 and len(head) > 3:
             n = head[1] & 0x7F if head[1] & 0x80 else 0
             need = (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) + 2 + n
-            chars = -(-need * 4 // 3)
-            j, have = i, 0
-            while j < len(lines) and have < chars:
-                have += lines[j][1] - lines[j][0]
-                j += 1
-            ends = [j] if have >= chars else []
-        else:
-            ends = sorted({len(lines), i + 1}, reverse=True)
+        elif head and head.startswith((b"openssh", b"\0\0\0")):
+            need = _ssh_size(code, first[i])
+        ends = [bisect_left(first, first[i] + -(-need * 4 // 3))] if need else []
+        if head and head.startswith((b"openssh", *(len(x).to_bytes(4, "big") + x[:8] for x in SSH_NAMES))):
+            ends += [len(lines), i + 1]  # length fields that do not tell, as in a cut key
         for j in ends:
-            data = decoded(text[lines[i][0] : lines[j - 1][1]])
+            data = decoded(code[first[i] : first[j]]) if j < len(first) else None
             if data and (kind := der_kind(data) or ssh_kind(data)):
-                return kind, lines[i][0], lines[j - 1][1]
-    return None
+                out.append((kind, lines[i][0], lines[j - 1][1]))
+                i = j - 1
+                break
+        i += 1
+    return out
 
 
 _ORDER = {k: i for i, k in enumerate(KINDS)}

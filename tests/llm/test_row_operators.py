@@ -165,6 +165,40 @@ def test_secret_structures(text, kinds):
     assert set(base) <= set(every)
 
 
+def ed25519(fill):
+    return base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes([fill]) * 32).decode()
+
+
+def test_every_key_of_a_run_of_lines():
+    keys = [ed25519(i) for i in (1, 2, 3)]
+    assert len(keys[0]) == 64
+    text = "keys\n" + "\n".join([keys[0], keys[1], "words", SSH, keys[2]]) + "\nend"
+    spans = secrets.spans_of(text)[1]
+    assert [text[a:b] for _, a, b in spans] == [keys[0], keys[1], SSH, keys[2]]
+    assert secrets.masked(text, spans, "*") == "keys\n*\n*\nwords\n*\n*\nend"
+    name, blob = lambda x: len(x).to_bytes(4, "big") + x, lambda n: n.to_bytes(4, "big") + b"q" * n
+    private = base64.b64encode(secrets.OPENSSH + name(b"none") + name(b"none") + name(b"") + b"\0\0\0\1" + blob(51) + blob(139)).decode()
+    lines = "\n".join(private[i : i + 70] for i in range(0, len(private), 70))
+    assert not private.endswith("=")
+    text = f"{lines}\n{keys[0]}"
+    assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text)[1]] == [("private_key", lines), ("private_key", keys[0])]
+
+
+@pytest.mark.parametrize("head", ['{ "alg":"HS256"}', '{\n"alg": "HS256"}', ' {"alg":"HS256"}', '{"alg":"HS256"}'])
+def test_tokens_with_any_header_form(head):
+    code = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = f"{code(head)}.{code('{ }')}.c2lnbmF0dXJl"
+    for text in (token, f"a {token} b", f"an-authorization-value.{token}"):
+        assert [text[a:b] for k, a, b in secrets.spans_of(text)[1] if k == "signed_token"] == [token]
+
+
+@pytest.mark.parametrize(("indent", "width"), [("", 64), ("    ", 64), ("", 32), ("\t", 40), ("  ", 7)])
+def test_pem_lines_of_any_form(indent, width):
+    code = "\n".join(indent + KEY[i : i + width] for i in range(0, len(KEY), width))
+    text = f"{indent}-----BEGIN RSA PRIVATE KEY-----\n{code}\n{indent}-----END RSA PRIVATE KEY-----\n"
+    assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text)[1]] == [("private_key", code.strip())]
+
+
 def test_secrets_query_and_redaction(spark, sf):
     texts = [*AWKWARD, "password=hunter22 x AKIA" + "Z" * 16, "x " + "ab" * 12 + " y", f"a {TOKEN} b"]
     docs = documents(spark, texts)
