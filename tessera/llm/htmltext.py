@@ -13,7 +13,9 @@ for a copy, and keeps them.
 
 Pages travel once, compressed, to the part of the URL order they belong to; the
 parts' bounds come from a bounded hash sample of the keys, so a host with a
-third of all pages spreads over many parts, and reruns agree.
+third of all pages spreads over many parts, and reruns agree. The first and last
+page of a part go to its neighbour parts too, so each page meets both URL
+neighbours on its host and the result does not depend on the number of parts.
 
 Defined cases: null or empty html gives an empty text; null urls form one host;
 repeated rows come back once each; an unclosed element ends with its parent.
@@ -214,23 +216,48 @@ def _shared_beginning(a: str, b: str) -> int:
     return n
 
 
-def _cutter(bounds: list[tuple]):
+def _placer(bounds: list[tuple]):
+    """The part and the key of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [(*url_key(url), _order(page_id)) for page_id, url in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)]
+            host, path, order = ([k[i] for k in keys] for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bisect_right(bounds, k) for k in keys], pa.int32()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(order, pa.int64())], names=["part", "host", "path", "order"]
+            )
+
+    return run
+
+
+def _visits(ends: list[tuple]) -> dict[tuple, list[int]]:
+    """Of (part, first key, last key) of the parts that hold pages: the other parts that a key's pages are shown to."""
+    out: dict[tuple, list[int]] = {}
+    ends = sorted(ends)
+    for (a, _, last), (b, first, _) in zip(ends, ends[1:], strict=False):
+        if last[0] == first[0]:
+            out.setdefault(last, []).append(b)
+            out.setdefault(first, []).append(a)
+    return out
+
+
+def _cutter(bounds: list[tuple], visits: dict[tuple, list[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = {k: [] for k in ("part", "host", "path", "named", "lines")}
+                out = {k: [] for k in ("page_id", "url", "part", "guest", "host", "path", "named", "lines")}
                 for page_id, url, page in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     host, path = url_key(url)
                     lines, named = lines_of(page or "")
-                    out["part"].append(bisect_right(bounds, (host, path, _order(page_id))))
-                    out["host"].append(host)
-                    out["path"].append(path)
-                    out["named"].append(named)
-                    out["lines"].append(pack.compress("\n".join("-+"[safe] + line for safe, line in lines).encode("utf-8", "surrogatepass")))
-                kinds = {"part": pa.int32(), "host": pa.string(), "path": pa.string(), "named": pa.bool_(), "lines": pa.binary()}
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["page_id", "url", *out])
+                    packed = pack.compress("\n".join("-+"[safe] + line for safe, line in lines).encode("utf-8", "surrogatepass"))
+                    key = (host, path, _order(page_id))
+                    for i, place in enumerate([bisect_right(bounds, key), *visits.get(key, ())]):
+                        for name, value in zip(out, (page_id, url, place, i > 0, host, path, named, packed), strict=True):
+                            out[name].append(value)
+                kinds = {"page_id": pa.int64(), "url": pa.string(), "part": pa.int32(), "guest": pa.bool_(), "host": pa.string(), "path": pa.string(), "named": pa.bool_(), "lines": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     return run
 
@@ -240,19 +267,19 @@ def _order(page_id) -> int:
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in URL order; each looks at the one before and the one after."""
+    """Rows come by part and in URL order; each looks at the one before and the one after. Guests are looked at only."""
     unpack = zstandard.ZstdDecompressor()
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for page_id, url, host, path, named, packed in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "host", "path", "named", "lines")), strict=True):
+                for page_id, url, host, path, named, packed, place, guest in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "host", "path", "named", "lines", "part", "guest")), strict=True):
                     body = unpack.decompress(packed).decode("utf-8", "surrogatepass")
-                    yield page_id, url, host, path, named, [(x[0] == "+", x[1:]) for x in body.split("\n")] if body else []
+                    yield page_id, url, host, path, named, [(x[0] == "+", x[1:]) for x in body.split("\n")] if body else [], place, guest
 
     def finish(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-        near = [x for x in (before, after) if x is not None and x[2] == row[2]]
+        near = [x for x in (before, after) if x is not None and x[2] == row[2] and x[6] == row[6]]
         other = max(near, key=lambda x: _shared_beginning(x[3], row[3])) if near else None
         text = "\n".join(difference(row[5], row[4], other[5] if other else None))
         return row[0], row[1], text, len(text)
@@ -265,14 +292,14 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     before = row = None
     for after in rows():
-        if row is not None:
+        if row is not None and not row[7]:
             out.append(finish(before, row, after))
             size += out[-1][3]
             if size > 1 << 20:
                 yield pack(out)
                 out, size = [], 0
         before, row = row, after
-    if row is not None:
+    if row is not None and not row[7]:
         out.append(finish(before, row, None))
     if out:
         yield pack(out)
@@ -287,6 +314,11 @@ def extract(spark: SparkSession, pages: DataFrame, part_bytes: int = PART_BYTES)
     keys = df.groupBy(F.pmod(h, F.lit(parts * KEYS_PER_PART))).agg(F.min(F.struct(h.alias("h"), "url", "page_id")).alias("k")).select("k.url", "k.page_id").collect()
     sample = sorted((*url_key(r["url"]), _order(r["page_id"])) for r in keys)
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    cut = df.mapInArrow(_cutter(bounds), "page_id bigint, url string, part int, host string, path string, named boolean, lines binary")
+    # Which pages stand at the ends of the parts shows from the URLs alone.
+    k = F.struct("host", "path", "order")
+    placed = df.select("page_id", "url").mapInArrow(_placer(bounds), "part int, host string, path string, order bigint")
+    ends = placed.groupBy("part").agg(F.min(k).alias("first"), F.max(k).alias("last")).collect()
+    visits = _visits([(r["part"], tuple(r["first"]), tuple(r["last"])) for r in ends])
+    cut = df.mapInArrow(_cutter(bounds, visits), "page_id bigint, url string, part int, guest boolean, host string, path string, named boolean, lines binary")
     placed = cut.repartitionByRange(parts, "part")
-    return placed.sortWithinPartitions("part", "host", "path", "page_id").mapInArrow(_pair, "page_id bigint, url string, text string, n_chars bigint")
+    return placed.sortWithinPartitions("part", "host", "path", "page_id", "url", "lines").mapInArrow(_pair, "page_id bigint, url string, text string, n_chars bigint")

@@ -261,6 +261,22 @@ def test_differencing_deletes_shared_lines(spark):
     assert htmltext.extract(spark, pages.limit(0)).collect() == []
 
 
+def test_differencing_does_not_depend_on_the_parts(spark):
+    page = "<div>Menu {0}</div><div>text {1}</div><div>Section {2}</div>"
+    rows = [(i, f"http://h{i % 3}.example/{i % 7}/é{i}", page.format(i % 3, i, i % 7)) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {}
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 8, 60, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found[parts] = sorted(tuple(r) for r in htmltext.extract(spark, pages).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert len(found[1]) == len(rows) and not any("Menu" in r[2] for r in found[1])
+    assert found[8] == found[1] and found[60] == found[1] and found[200] == found[1]
+
+
 def test_article_paragraphs_are_safe(spark, sf):
     docs = {" ".join(r["text"].split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op7_extract(spark, sf).collect():
