@@ -39,9 +39,9 @@ PART_BYTES = 16 << 20
 MAX_PARTS = 32768
 KEYS_PER_PART = 4
 
-#: Attributes: quoted values may hold >; where quotes do not close, the tag ends at the first >.
-_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+|[^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video"}
@@ -61,13 +61,37 @@ SAFE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dt"
 CLOSES = {"p": SAFE | {"div", "ul", "ol", "dl", "table", "section", "article", "header", "footer", "nav", "aside", "form", "main", "hr", "figure", "address", "details"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
-def _skips(tag: str, attrs: str, in_article: bool) -> bool:
+def _tag_end(page: str, at: int, last: int, dead: set[int]) -> int:
+    """The place after the > that ends the tag whose attributes begin at a place; one must stand before `last`.
+
+    Quoted values may hold >; where quotes do not close, the tag ends at the
+    first >. `dead` gathers the places of quotes from which no tag ends, so that
+    no stretch is searched twice.
+    """
+    seen, where = [], at
+    while m := _STOP.search(page, where, last):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in dead:
+            break
+        seen.append(m.start())
+        close = page.find(m[0], m.end(), last)
+        if close < 0:
+            break
+        where = close + 1
+    dead.update(seen)
+    return page.index(">", at, last) + 1
+
+
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    """(name, value) in lower case."""
+    return [(m[1].lower(), (m[2] or "").strip("\"'").lower()) for m in _ATTR.finditer(attrs)] if attrs else []
+
+
+def _skips(tag: str, attrs: list[tuple[str, str]], in_article: bool) -> bool:
     if tag in SKIP:
         return not (tag == "header" and in_article)
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+    for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style":
@@ -76,7 +100,7 @@ def _skips(tag: str, attrs: str, in_article: bool) -> bool:
         elif name == "role":
             if value in SKIP_ROLES:
                 return True
-        elif tag not in ("html", "body", "main") and not SKIP_WORDS.isdisjoint(_NAME.findall(value)):
+        elif name in ("class", "id") and tag not in ("html", "body", "main") and not SKIP_WORDS.isdisjoint(_NAME.findall(value)):
             return True
     return False
 
@@ -92,6 +116,7 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
     if (open_comment := page.find("<!--", page.rfind("-->") + 1)) >= 0 and page.find("-->", open_comment) < 0:
         n = open_comment  # it hides the rest
     last = page.rfind(">", 0, n) + 1  # no tag ends later
+    dead: set[int] = set()
 
     def flush() -> None:
         nonlocal buffer
@@ -117,7 +142,8 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        at = _tag_end(page, at, last, dead)
+        tag, attrs = m[2].lower(), page[m.end() : at - 1]
         if m[1]:
             if tag not in INLINE:
                 flush()
@@ -125,7 +151,7 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
                 close(len(stack) - 1 - stack[::-1].index(tag))
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             if tag not in INLINE and skip < 0:
@@ -142,13 +168,14 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
                     depth = len(stack) - 1 - stack[::-1].index(open_tag)
                     if not any(x in ("table", "ul", "ol", "dl", "div", "section", "article", "main", "blockquote") for x in stack[depth + 1 :]):
                         close(depth)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         depth = len(stack)
         stack.append(tag)
-        if skip < 0 and _skips(tag, m[3], article >= 0):
+        given = _attributes(attrs) if skip < 0 else []
+        if skip < 0 and _skips(tag, given, article >= 0):
             skip = depth
-        if skip < 0 and article < 0 and (tag in ("article", "main") or 'role="main"' in m[3]):
+        if skip < 0 and article < 0 and (tag in ("article", "main") or ("role", "main") in given):
             article = depth
         if safe_at < 0 and tag in SAFE:
             safe_at = depth

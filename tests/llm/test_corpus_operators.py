@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -233,6 +234,21 @@ def test_broken_pages(page):
     assert all(x == " ".join(x.split()) and x for _, x in lines)
 
 
+@pytest.mark.parametrize("n", [100, 5000, 300_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_values(n, quote):
+    value = quote + "x" * n + "> <p class=ad hidden>LEAK</p> y" + quote
+    assert htmltext.lines_of(f"<div data-x={value}>body</div><div srcdoc={value} class=ad>no</div><p data-y={value} role=note>end</p>") == ([(False, "body"), (False, "end")], False)
+
+
+def test_unclosed_quotes_take_linear_time():
+    for piece in ("<a \"", "<a '\">", "<a b=\"'>x", "<a \"<b '>"):
+        page = piece * 100_000 + ">"
+        began = time.process_time()
+        htmltext.lines_of(page)
+        assert time.process_time() - began < 20
+
+
 def test_lcs_against_dynamic_programming():
     rng = random.Random(4)
     for _ in range(200):
