@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +26,13 @@ BLOCK_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir).
 
-    Where the setting is missing (unit tests, one machine) a temporary folder
-    is made once and remembered in the session.
+    Where the setting is missing, a session on one machine (unit tests) makes a
+    temporary folder once and remembers it; a cluster must name its folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.scratch.dir", path)
     return path.rstrip("/")
@@ -39,6 +42,8 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage between jobs.
 
     A written table survives the loss of any executor, unlike cached blocks.
+    What is not dropped before goes when the driver ends, as the returned
+    DataFrame may be read until then.
     """
 
     def __init__(self, spark: SparkSession):
@@ -51,17 +56,22 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
         (df.write.partitionBy(by) if by else df.write).parquet(path)
+        if self.n == 1:
+            root = self._path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables made by cut() that no later plan reads."""
         for table in tables:
             path = getattr(table, "_tessera_path", None)
             if path:
-                jvm = self.spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
+                where = self._path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def sweep(self) -> None:
