@@ -11,10 +11,12 @@ Training reads a bounded sample: per language one slice of each of SAMPLE_DOCS
 documents, the first by hash in each of SAMPLE_DOCS hash buckets (a combining
 aggregate of fixed width), up to DICT_BYTES.
 
-Defined cases: null texts and texts without a letter are `und` with score 0;
-null languages and null ids do not train; without any training text everything
-is `und`; rows come back once each; more than MAX_LANGS labels raise an error
-rather than dropping some.
+Defined cases: null texts and texts without a letter (Unicode category L) are
+`und` with score 0; a text of any length counts whole, chunk by chunk; null
+languages and null ids do not train, nor does a language whose sampled texts
+hold no word; without any training text everything is `und`; equal totals go to
+the first language in code-point order; rows come back once each; more than
+MAX_LANGS labels raise an error rather than dropping some.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .common import held_out
 SAMPLE_DOCS = 64
 SLICE_CHARS = 2000
 DICT_BYTES = 64 << 10
+#: Raw dictionaries of fewer bytes are void to zstandard; shorter samples repeat up to this.
+MIN_DICT = 8
 MAX_LANGS = 512
 CHUNK_BYTES = 2048
 LEVEL = 6
@@ -41,7 +45,8 @@ SCALE = 3.0
 #: Margins (of the smallest total, and in bytes) under which a prediction is rejected.
 NARROW, NARROW_BYTES = 0.01, 2
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Holds all letters, and numerals such as one half.
+_WORD = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
 
@@ -50,6 +55,10 @@ def normal(text: str) -> bytes:
     return _REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
+
+
 class Model:
     """Dictionaries by language; compressors are made where the model is used."""
 
@@ -78,7 +87,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool, float]:
         """(language, score, rejected, margin)."""
-        if not text or not self.dictionaries or not _LETTER.search(text):
+        if not text or not self.dictionaries or not has_letter(text):
             return "und", 0.0, True, 0.0
         totals = np.array(self.totals(text), np.float64)
         best = int(totals.argmin())
@@ -112,8 +121,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_
     out = {}
     for lang, parts in texts.items():
         raw = normal("\n".join(p for _, _, p in sorted(parts)))
-        if len(raw) >= 8:
-            out[lang] = raw[-dict_bytes:]
+        if raw.strip():
+            out[lang] = (raw * -(-MIN_DICT // len(raw)))[-dict_bytes:]
     return Model(out)
 
 
