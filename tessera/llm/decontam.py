@@ -6,11 +6,13 @@ window). The windows' 64-bit hashes and texts go to the tasks; each document's
 token windows are looked up by hash, and every hash hit is verified against the
 window's words before it counts. No shuffle takes place.
 
-The set is broadcast in blocks of at most `block_bytes` of benchmark text, so
-it stays bounded when the benchmark grows: each further block is one more pass
-that merges its hits with those carried along with the row.
+The set is broadcast in blocks of at most `block_bytes` of benchmark text, one
+block alive at a time: before the next block's set is made, the rows with the
+hits so far are written to the shared folder, and the next pass merges its hits
+with those. A benchmark of one block (all known ones) takes one map-only pass.
 
-Defined cases: null or empty texts have no words; items without words or with
+Defined cases: null or empty texts have no words, an empty documents table gives
+no row, texts are scanned whole at any length; items without words or with
 null text have no window; an item with a null item_id marks hits but is named
 in no list; items with one id count once; an empty benchmark hits nothing;
 other columns, whatever their names, pass through `remove` untouched.
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, text_blocks, word_hashes, words
+from .common import ALNUM, LOWER, Scratch, mix, text_blocks, word_hashes, words
 
 WINDOW = 10
 #: Benchmark text sent to the tasks at once.
-BLOCK_TEXT_BYTES = 8 << 20
+BLOCK_TEXT_BYTES = 4 << 20
 
 _STEP = 0xD1342543DE82EF95 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -72,7 +74,7 @@ class WindowSet:
         self.by_length = {}
         for k, group in found.items():
             keys = sorted(group, key=hashes.__getitem__)
-            near = np.zeros(1 << 18, bool)
+            near = np.zeros(max(1 << 18, 1 << (8 * len(keys)).bit_length()), bool)
             values = np.array([hashes[x] for x in keys], np.uint64)
             near[(values & np.uint64(near.size - 1)).astype(np.int64)] = True
             self.by_length[k] = (values, near, keys, [sorted(x for x in group[key] if x is not None) for key in keys])
@@ -154,7 +156,12 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
     """Columns `keep`, the text as __text, and the carried columns."""
     df = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["__words bigint", "__hit binary", "__items array<string>"]
+    scratch, before = Scratch(docs.sparkSession), None
     for i, sets in enumerate(window_sets(benchmark, window, block_bytes)):
+        if i:
+            written = scratch.cut(df)
+            scratch.drop(before)
+            df = before = written
         df = df.mapInArrow(_marker(sets, i == 0), ", ".join(kinds))
     return df
 
