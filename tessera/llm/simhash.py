@@ -22,6 +22,7 @@ component has none; repeated rows return once each; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Scratch, text_blocks, words
+from .common import LOWER, SPACED, Scratch, join_hashes, text_blocks, words
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-#: Fingerprints aimed at per shard tree; a block value above HEAVY is routed by a second block.
+#: Fingerprints aimed at per shard tree; a block value above HEAVY is routed by a further block.
 SHARD_ROWS = 4096
 HEAVY = 512
+#: A further block repeats a fingerprint radius + 1 times, so each level takes this many times larger groups.
+DEEPER = 16
 
 
 def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -165,71 +168,70 @@ def shard_links(values: np.ndarray, radius: int = RADIUS, at_once: int = 512) ->
     return values[order[child]], values[order[first[child] + (rank[child] - 1) // 2]]
 
 
-def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; a shard may go on over several batches."""
-
+def _search_shards(radius: int):
     def links(parts: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = shard_links(np.concatenate(parts).view(np.uint64))
+        u, v = shard_links(np.concatenate(parts).view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    held, current = [], None
-    for batch in batches:
-        shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        for part, s in zip(np.split(fp, cuts), shard[np.concatenate([[0], cuts])] if len(shard) else [], strict=False):
-            if s != current and held:
-                yield links(held)
-                held = []
-            current = s
-            held.append(part)
-    if held:
-        yield links(held)
-
-
-def _block(width: int, low: int):
-    return F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _routes(start: int, bits: list[int]) -> list[tuple[int, int]]:
-    """(low bit, width) of consecutive blocks."""
-    out = []
-    for width in bits:
-        out.append((start, width))
-        start += width
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard; a shard may go on over several batches."""
+        held, current = [], None
+        for batch in batches:
+            shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            for part, s in zip(np.split(fp, cuts), shard[np.concatenate([[0], cuts])] if len(shard) else [], strict=False):
+                if s != current and held:
+                    yield links(held)
+                    held = []
+                current = s
+                held.append(part)
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _cut_bits(rest: int, blocks: int) -> list[int]:
+    """The set bits of a mask in so many runs of about equal size."""
+    bits = [x for x in range(64) if rest >> x & 1]
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _route(radius: int):
+    """Each row (fp, key, rest) once per block of the bits in `rest`; linked pairs agree in one block at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, key, rest = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            for mask in np.unique(rest):
+                at = np.flatnonzero(rest == mask)
+                for j, block in enumerate(_cut_bits(int(mask), radius + 1)):
+                    value = join_hashes(key[at], np.full(len(at), j, np.uint64), fp[at] & np.uint64(block))
+                    columns = [fp[at], value, np.full(len(at), int(mask) & ~block, np.uint64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["fp", "key", "rest"])
+
+    return run
 
 
 def links(spark: SparkSession, distinct: DataFrame, rows: int, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """u, v: a sparse set of links with the components of all pairs within the radius."""
-    blocks = _routes(0, [64 // (radius + 1) + (i < 64 % (radius + 1)) for i in range(radius + 1)])
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("b"), _block(w, lo).alias("x")) for i, (lo, w) in enumerate(blocks)))).alias("k")).select("fp", F.xxhash64("k.b", "k.x").alias("key"), F.col("k.b").alias("b"))
-    heavy = scratch.cut(keyed.groupBy("key").count().filter(F.col("count") > HEAVY).select("key"))
-    light = keyed.join(heavy, "key", "left_anti").select("fp", "key")
-    dense = keyed.join(heavy, "key", "left_semi")
-    # The block agrees here, so the bits outside it differ in at most `radius` places: cut them again.
-    finer = []
-    for b, (lo, w) in enumerate(blocks):
-        rest = [x for x in range(64) if not lo <= x < lo + w]
-        size = -(-len(rest) // (radius + 1))
-        for j in range(radius + 1):
-            own = rest[j * size : (j + 1) * size]
-            finer.append((b, F.struct(F.lit(b * 16 + j).alias("b"), F.array(*(_block(e - s, s) for s, e in _runs(own))).alias("x"))))
-    sub = F.filter(F.array(*(F.when(F.col("b") == b, x) for b, x in finer)), lambda x: x.isNotNull())
-    dense = dense.select("fp", "key", F.explode(sub).alias("k")).select("fp", F.xxhash64("key", "k.b", "k.x").alias("key"))
+    dense = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("rest"))
+    groups, bits, most = [], 64, HEAVY
+    while True:
+        keyed = dense.mapInArrow(_route(radius), "fp bigint, key bigint, rest bigint")
+        # The blocks agree here, so the bits outside them differ in at most `radius` places: cut them again.
+        bits -= bits // (radius + 1)
+        heavy = scratch.cut(keyed.groupBy("key").count().filter(F.col("count") > most).select("key"))
+        most *= DEEPER
+        if bits <= radius or not heavy.limit(1).count():
+            groups.append(keyed)
+            break
+        groups.append(keyed.join(heavy, "key", "left_anti"))
+        dense = keyed.join(heavy, "key", "left_semi").select("fp", "key", "rest")
     shards = max(1, round(rows * (radius + 1) / SHARD_ROWS))
-    routed = light.unionByName(dense).select(F.pmod("key", F.lit(shards)).alias("shard"), "fp")
-    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards, "u bigint, v bigint")
-
-
-def _runs(bits: list[int]) -> list[tuple[int, int]]:
-    """[start, end) of consecutive bits."""
-    out: list[tuple[int, int]] = []
-    for x in bits:
-        if out and out[-1][1] == x:
-            out[-1] = (out[-1][0], x + 1)
-        else:
-            out.append((x, x + 1))
-    return out
+    routed = reduce(DataFrame.unionByName, groups).select(F.pmod("key", F.lit(shards)).alias("shard"), "fp")
+    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_shards(radius), "u bigint, v bigint")
 
 
 def smallest_labels(edges: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
@@ -279,6 +281,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     """
     scratch = Scratch(spark)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    if "map<" in docs.schema.simpleString():
+        whole = F.to_json(whole)  # maps have no hash of their own
     marked = scratch.cut(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole).alias("row")))
     grouped = _grouped(spark, marked, scratch, radius)
     lead = marked.join(grouped, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
