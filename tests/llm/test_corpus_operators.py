@@ -108,10 +108,11 @@ def test_topk_against_brute_force(spark):
     df = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     good = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = []
-    for q, e in {i: e for i, e in sorted(good, reverse=True)}.items():
+    for n, (q, e) in enumerate(good):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in good if i != q and len(f) == len(e))[:5]
+            found = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for m, (i, f) in enumerate(good) if m != n and len(f) == len(e))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert sum(q == 50 for q, *_ in want) == 10
     for block, shard in ((4096, 8192), (2, 16)):
         got = topk.search(df.filter("vec_id % 50 = 0"), df, query_rows=block, shard_rows=shard)
         assert sorted(map(tuple, got.collect())) == sorted(want)
@@ -119,10 +120,23 @@ def test_topk_against_brute_force(spark):
     assert topk.search(none, df).collect() == [] and topk.search(df.filter("vec_id = 0"), none).collect() == []
 
 
+def test_topk_huge_components_and_clashing_columns(spark):
+    rows = [(0, [2.0**20, 1.0], 1, 2), (50, [-(2.0**22), 2.0**21], 3, 4), (51, [2.0**20, 2.0**22 + 0.5], 5, 6), (52, [1.0, -1.0], 7, 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q int, score int")
+    df = topk.integers(frame)
+    good = {i: [math.floor(256 * x) for x in e] for i, e, *_ in rows}
+    want = [(q, r + 1, i, -s) for q in (0, 50) for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(good[q], good[c], strict=True)), c) for c in good if c != q))]
+    assert sorted(map(tuple, topk.search(df.filter("vec_id % 50 = 0"), df).collect())) == want
+    for x, message in ((1e30, "beyond the 64-bit range"), (1e300, "beyond the 64-bit range"), (2.0**30, "a score is beyond")):
+        df = topk.integers(spark.createDataFrame([(0, [x, x]), (1, [x, x])], "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match=message):
+            topk.search(df.filter("vec_id = 0"), df).collect()
+
+
 def test_topk_stops_early():
     ids, vectors = np.arange(20_000), np.zeros((20_000, 4), np.int64)
     vectors[:, 0] = np.arange(20_000)
-    best = topk.Best(np.array([-1]), np.array([[1, 0, 0, 0]]), 5)
+    best = topk.Best(np.array([[1, 0, 0, 0]]), 5)
     calls = []
     add, best.add = best.add, lambda q, s, i: (calls.append(len(i)), add(q, s, i))
     topk.search_shard(best, ids, vectors)
@@ -172,8 +186,8 @@ def test_simhash_against_brute_force(spark):
     assert simhash.components(spark, documents(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("heavy", [512, 3])
-def test_simhash_dense_clusters(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "radius"), [(512, 2), (3, 2), (20, 0), (20, 1), (20, 4)])
+def test_simhash_dense_clusters(spark, monkeypatch, heavy, radius):
     """A cluster around one centre and a chain, with block values frequent enough to be routed again."""
     monkeypatch.setattr(simhash, "HEAVY", heavy)
     rng = random.Random(9)
@@ -188,8 +202,8 @@ def test_simhash_dense_clusters(spark, monkeypatch, heavy):
     from tessera.llm.common import Scratch
 
     frame = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(values)], "doc_id long, fp long")
-    got = simhash._grouped(spark, frame, Scratch(spark), 2).join(frame, "fp").collect()
-    want = by_hand(list(range(len(values))), values)
+    got = simhash._grouped(spark, frame, Scratch(spark), radius).join(frame, "fp").collect()
+    want = by_hand(list(range(len(values))), values, radius)
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
@@ -209,6 +223,10 @@ def test_keep_one(spark):
     rows = kept.collect()
     assert len(rows) == 3
     assert {r["doc_id"] for r in rows} == {1, 9, None}
+    from pyspark.sql import functions as F
+
+    mapped = docs.withColumn("m", F.create_map(F.lit("a"), F.col("text")))
+    assert simhash.keep_one(spark, mapped).count() == 3
 
 
 # Pages

@@ -6,9 +6,11 @@ import base64
 import hashlib
 import json
 import re
+import unicodedata
 
 import duckdb
 import pytest
+import zstandard
 
 from tessera.llm import decontam, langid, queries, secrets, toxicity
 
@@ -40,13 +42,38 @@ def test_language_awkward_rows(spark):
     out = pairs(langid.predict(docs, langid.fit(docs)))
     assert len(out) == len(texts)
     und = {i for i, r in out.items() if r["lang_pred"] == "und"}
-    assert und == {i for i, t in enumerate(texts) if not re.search(r"[^\W\d_]", t or "")}
+    assert und == {i for i, t in enumerate(texts) if not any(unicodedata.category(c)[0] == "L" for c in t or "")}
     assert out[0]["lang_pred"] == "en" and out[1]["lang_pred"] == "de"
     empty = documents(spark, [])
     assert langid.predict(empty, langid.fit(empty)).collect() == []
     assert pairs(langid.predict(docs, langid.fit(empty)))[0]["lang_pred"] == "und"
 
 
+def test_language_against_brute_force(spark, sf):
+    """Every prediction of the query, by compressing again without the operator's code for it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    assert set(model.dictionaries) == {r["lang"] for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op1_language(spark, sf).collect():
+        raw = re.sub(r"[\W\d_]+", " ", texts[r["doc_id"]].lower()).encode()
+        sizes = {}
+        for lang, learned in model.dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(learned, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(tool.compress(raw[i : i + langid.CHUNK_BYTES])) for i in range(0, len(raw), langid.CHUNK_BYTES))
+        assert r["lang_pred"] == min(sorted(sizes), key=sizes.get)
+
+
+def test_language_letters_and_tiny_samples(spark):
+    texts = ["½ ² ٣ Ⅷ ①", "ª", "日本", "a", "b", "_ 7"]
+    docs = documents(spark, texts, ids=[0, 1, 2, 3, 4, 5], langs=["x", "x", "ja", "a", "b", "none"])
+    model = langid.fit(docs)
+    assert all(len(d) >= langid.MIN_DICT for d in model.dictionaries.values())
+    out = pairs(langid.predict(docs, model))
+    assert [out[i]["lang_pred"] == "und" for i in range(6)] == [True, False, False, False, False, True]
+
+
 def test_language_repeated_and_null_ids(spark):
     docs = documents(spark, ["hello there my friend"] * 3 + ["guten tag mein freund"], ids=[1, 1, None, 4], langs=["en", "en", "en", "de"])
     assert langid.predict(docs, langid.fit(docs)).count() == 4
@@ -100,6 +127,18 @@ def test_decontamination_empty_tables(spark):
     assert decontam.scan(documents(spark, []), none).collect() == []
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    """Each block's set meets a plan of one pass only, over rows read back from the shared folder."""
+    plans, marked = [], decontam._marker
+    items = [(i, f"alpha beta gamma delta number{i}") for i in range(12)]
+    docs, bench = documents(spark, [f"x {t} y" for _, t in items] + ["clean"]), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "_marker", lambda sets, first: (plans.append(first), marked(sets, first))[1])
+    df = decontam.scan(docs, bench, block_bytes=60)
+    assert len(plans) > 3
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert df.filter("contaminated").count() == len(items)
+
+
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op5_topk", "op10_curriculum"])
 def test_sql_oracles(spark, sf, name):
     c = duckdb.connect()
