@@ -6,13 +6,17 @@ hex candidates are decoded and must parse as a key encoding (DER with nested
 lengths that fill it exactly, or an SSH wire key whose length fields do) or as
 a signed token (base64url JSON header that names an algorithm, JSON payload).
 
-Lines of code between PEM markers may be indented and of any length. A run of
-lines may hold several keys; each is reported.
+Lines of code between PEM markers may be indented and of any length, and their
+breaks may be escaped as in JSON. A run of lines may hold several keys; each is
+reported.
 
 A byte-level test decides cheaply whether a text can hold a kind at all; only
-then its pattern runs. Everything is per row: no shuffle, whole texts.
+then its pattern runs. Everything is per row: no shuffle, whole texts. Runs of
+code are decoded once per alignment, and a place is parsed only if its first
+bytes nest like a key's, so time stays in proportion to the text.
 
-Defined cases: null texts are empty; positions count code points, end exclusive;
+Defined cases: null and empty texts have no span, an empty table gives no row;
+positions count code points, end exclusive; texts of any length are read whole;
 rows come back once each, also repeated ones; `redact` passes all columns on.
 """
 
@@ -43,21 +47,24 @@ KINDS = ("assign", "access", "hex", "signed_token", "private_key", "public_key",
 #: Shortest header of a token: {"alg":""} in base64url.
 HEADER = 14
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----\s*+(?:[A-Za-z0-9-]+:[^\n]*+\n\s*+)*+([A-Za-z0-9+/\s]++={0,2})\s*+-----END ")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:\s|\\[nr])*+(?:[A-Za-z0-9-]+:[^\n]*+\n\s*+)*+((?:[A-Za-z0-9+/\s]|\\[nr])++={0,2})(?:\s|\\[nr])*+-----END ")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
 ANYHEX = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
-#: Shortest run of base64 or hex characters worth decoding.
+#: Shortest run of base64 or hex characters worth decoding, line breaks included.
 RUN = 48
+#: Values that a key or certificate may consist of, all levels together.
+MAX_VALUES = 10_000
 
 _HEX_RUN = byte_mask("0123456789abcdef")
 _CODE_RUN = byte_mask("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_LINES_RUN = _CODE_RUN | byte_mask("\r\n")
 
 
 def _table(mask: np.ndarray) -> bytes:
     return bytes(np.where(mask, ord("1"), ord("0")).astype(np.uint8))
 
 
-_HEX_TABLE, _CODE_TABLE = _table(_HEX_RUN), _table(_CODE_RUN)
+_HEX_TABLE, _CODE_TABLE, _LINES_TABLE = _table(_HEX_RUN), _table(_CODE_RUN), _table(_LINES_RUN)
 
 # Fixed values of the DER and SSH formats: object identifiers of key types, and wire names.
 KEY_OIDS = {
@@ -71,36 +78,62 @@ SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"e
 OPENSSH = b"openssh-key-v1\0"
 
 
-def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> list | None:
+def _head(data, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the DER value at a place, if its length is in the shortest form and fits."""
+    if end - at < 2:
+        return None
+    tag, size = data[at], data[at + 1]
+    at += 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or at + n > end:
+            return None
+        size = int.from_bytes(data[at : at + n], "big")
+        at += n
+        if size < 0x80 or n > 1 and size >> 8 * (n - 1) == 0:
+            return None
+    return (tag, at, at + size) if at + size <= end else None
+
+
+def der(data, at: int = 0, end: int | None = None, depth: int = 0, left: list[int] | None = None) -> list | None:
     """[(tag, content or children)] if data[at:end] is whole DER values, else None."""
     end = len(data) if end is None else end
+    left = [MAX_VALUES] if left is None else left
     out = []
     while at < end:
-        if end - at < 2 or depth > 24:
-            return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > end:
-                return None
-            size = int.from_bytes(data[at : at + n], "big")
-            at += n
-            if size < 0x80 or n > 1 and size >> 8 * (n - 1) == 0:  # DER: the shortest form only
-                return None
-        if at + size > end:
+        left[0] -= 1
+        head = _head(data, at, end) if depth <= 24 and left[0] >= 0 else None
+        if head is None:
             return None
+        tag, start, at = head
         if tag & 0x20:
-            inner = der(data, at, at + size, depth + 1)
+            inner = der(data, start, at, depth + 1, left)
             if inner is None:
                 return None
             out.append((tag, inner))
         else:
-            out.append((tag, data[at : at + size]))
-        at += size
+            out.append((tag, bytes(data[start:at])))
     return out
 
 
+def _nests(data) -> int | None:
+    """Size of the DER sequence that the bytes begin, if its first value is a number or a sequence that fits as in a key."""
+    n = len(data)
+    if n < 16 or data[0] != 0x30 or not (outer := _head(data, 0, 1 << 40)):
+        return None
+    _, at, end = outer
+    inner = _head(data, at, end) if at + 6 <= n else None
+    if inner is None or inner[0] not in (0x02, 0x30) or inner[0] == 0x02 and inner[2] - inner[1] < 1:
+        return None
+    if inner[0] == 0x02 and inner[2] - inner[1] == 1:  # the version, and what follows it
+        ahead = _head(data, inner[2], end) if inner[2] + 6 <= n else None
+        return end if ahead and ahead[0] in (0x02, 0x04, 0x30) else None
+    if inner[0] == 0x30:
+        ahead = _head(data, inner[1], inner[2]) if inner[1] + 6 <= n else None
+        return end if ahead and ahead[0] in (0x02, 0x06, 0xA0) else None
+    return end if inner[2] - inner[1] >= 64 else None
+
+
 def der_kind(data: bytes) -> str | None:
     """private_key, public_key or certificate, by the nested structure."""
     if len(data) < 16 or data[0] != 0x30:
@@ -147,7 +180,7 @@ def ssh_kind(data: bytes) -> str | None:
 
 
 def decoded(code: str) -> bytes | None:
-    code = re.sub(r"\s", "", code).rstrip("=").translate(str.maketrans("-_", "+/"))
+    code = re.sub(r"\\[nr]|\s", "", code).rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(code) % 4 == 1:
         return None
     try:
@@ -195,30 +228,48 @@ def confirmed_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
             data = decoded(m[1])
             if data and (kind := der_kind(data) or ssh_kind(data)):
                 out.append((kind, m.start(1), m.start(1) + len(m[1].rstrip())))
-    if code.find(b"1" * RUN) < 0:
+    if raw.translate(_LINES_TABLE).find(b"1" * RUN) < 0:
         return out
+    found = set(out)
     for m in ANYHEX.finditer(text):
         data = bytes.fromhex(m[0])
         if kind := der_kind(data) or ssh_kind(data):
-            out.append((kind, m.start(), m.end()))
+            found.add((kind, m.start(), m.end()))
     for m in BASE64.finditer(text):
         if m.end() - m.start() < RUN:
             continue
         # A run of lines may begin or end with plain words: any first and last line may bound the code.
         lines = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"\S+", m[0])]
-        out += [x for x in _keys_of_lines(text, lines) if x not in out]
-    return out
+        found.update(_keys_of_lines(text, lines))
+    return list(found)
+
 
+class _Code:
+    """A run of base64 lines as one string, decoded once for each of its four alignments."""
 
-def _ssh_size(code: str, at: int) -> int | None:
+    def __init__(self, code: str):
+        self.code = code.translate(str.maketrans("-_", "+/"))
+        self.phases: dict[int, bytes] = {}
+
+    def bytes_at(self, at: int, size: int) -> memoryview:
+        """The bytes that the code from a place on decodes to, as far as there are so many."""
+        phase = at % 4
+        if phase not in self.phases:
+            whole = self.code[phase:].rstrip("=")
+            whole = whole[: len(whole) - (len(whole) % 4 == 1)]
+            self.phases[phase] = base64.b64decode(whole + "=" * (-len(whole) % 4))
+        start = (at - phase) // 4 * 3
+        return memoryview(self.phases[phase])[start : start + size]
+
+
+def _ssh_size(code: _Code, at: int) -> int | None:
     """Bytes of the SSH key whose code begins at a place, by its length fields."""
 
     def number(where: int) -> int | None:
-        data = decoded(code[at + where // 3 * 4 :][:8]) if at + where // 3 * 4 < len(code) else None
-        data = (data or b"")[where % 3 :][:4]
+        data = code.bytes_at(at, where + 4)[where:]
         return int.from_bytes(data, "big") if len(data) == 4 else None
 
-    head = decoded(code[at : at + 40]) or b""
+    head = bytes(code.bytes_at(at, 30))
     if head.startswith(OPENSSH):
         where, kinds, keys = len(OPENSSH), "fff#", None
     elif name := next((x for x in SSH_NAMES if head.startswith(len(x).to_bytes(4, "big") + x)), None):
@@ -240,28 +291,25 @@ def _ssh_size(code: str, at: int) -> int | None:
 
 def _keys_of_lines(text: str, lines: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """The keys that runs of the lines decode to; a key's length fields say where it must end."""
-    code = "".join(text[a:b] for a, b in lines)
+    code = _Code("".join(text[a:b] for a, b in lines))
     first = [0]
     for a, b in lines:
         first.append(first[-1] + b - a)
     out, i = [], 0
     while i < len(lines):
-        head = decoded(code[first[i] : min(first[i] + 16, first[i + 1])][:16])
-        need = None
-        if head and head[0] == 0x30 and len(head) > 3:
-            n = head[1] & 0x7F if head[1] & 0x80 else 0
-            need = (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) + 2 + n
-        elif head and head.startswith((b"openssh", b"\0\0\0")):
-            need = _ssh_size(code, first[i])
-        ends = [bisect_left(first, first[i] + -(-need * 4 // 3))] if need else []
-        if head and head.startswith((b"openssh", *(len(x).to_bytes(4, "big") + x[:8] for x in SSH_NAMES))):
-            ends += [len(lines), i + 1]  # length fields that do not tell, as in a cut key
-        for j in ends:
-            data = decoded(code[first[i] : first[j]]) if j < len(first) else None
-            if data and (kind := der_kind(data) or ssh_kind(data)):
-                out.append((kind, lines[i][0], lines[j - 1][1]))
-                i = j - 1
-                break
+        head = code.bytes_at(first[i], 24)
+        need = _nests(head) if head[:1] == b"\x30" else _ssh_size(code, first[i])
+        if need:
+            j = bisect_left(first, first[i] + -(-need * 4 // 3))
+            # Padding may follow the key's last character on its line.
+            if j < len(first) and (pad := first[j] - first[i] - -(-need * 4 // 3)) <= 2 and code.code[first[j] - pad : first[j]] in ("", "=", "=="):
+                data = code.bytes_at(first[i], need)
+                if len(data) == need and (kind := der_kind(data) or ssh_kind(bytes(data))):
+                    out.append((kind, lines[i][0], lines[j - 1][1]))
+                    i = j - 1
+        elif bytes(head).startswith(OPENSSH) and ssh_kind(bytes(code.bytes_at(first[i], 4096))):
+            out.append(("private_key", lines[i][0], lines[-1][1]))  # a cut key, up to the end of the run
+            break
         i += 1
     return out
 
