@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -223,6 +225,56 @@ def test_every_key_of_a_run_of_lines():
     assert [(k, text[a:b]) for k, a, b in secrets.spans_of(text)[1]] == [("private_key", lines), ("private_key", keys[0])]
 
 
+LINES = {
+    "zeros": b"\0" * 57,
+    "short lengths": b"\x30\x82\x04" * 19,
+    "long lengths": (b"\x30\x84\x00\x7f\xff\xff\x02\x01\x00" * 7)[:57],
+    "key heads": (b"\x30\x82\xff\x00\x02\x01\x00" + b"\x02\x01\x07" * 20)[:57],
+    "wire names": (b"\0\0\0\x07ssh-rsa\0\0\0\1a\0\0\0\1b" * 4)[:57],
+    "private wire": (secrets.OPENSSH + b"\0\0\0\4none" * 4)[:57],
+}
+
+
+@pytest.mark.parametrize("name", [*LINES, "keys"])
+def test_five_megabytes_of_code_take_seconds(name):
+    line = KEY if name == "keys" else base64.b64encode(LINES[name]).decode()
+    text = (line + "\n") * (5_000_000 // len(line))
+    began = time.process_time()
+    found = secrets.spans_of(text)[1]
+    assert time.process_time() - began < 8
+    assert len(found) == (5_000_000 // len(line) if name in ("keys", "private wire") else 0)
+
+
+def test_confirmed_keys_against_all_runs_of_lines():
+    rng = random.Random(12)
+    pieces = [KEY, SSH, *(ed25519(i) for i in range(3)), base64.b64encode(rsa_like() + b"x").decode(), "words", "A" * 76, KEY[:60]]
+    for _ in range(60):
+        width = rng.choice([40, 64, 76])
+        lines = [p[i : i + width] for p in rng.choices(pieces, k=rng.randint(1, 5)) for i in range(0, len(p), width)]
+        text = "\n".join(lines)
+        starts = [sum(len(x) + 1 for x in lines[:i]) for i in range(len(lines))]
+        want, i = set(), 0
+        while i < len(lines):
+            for j in range(i + 1, len(lines) + 1):
+                data = secrets.decoded("".join(lines[i:j])) if not any("=" in x for x in lines[i : j - 1]) else None
+                if data and (kind := secrets.der_kind(data) or secrets.ssh_kind(data)):
+                    want.add((kind, starts[i], starts[j - 1] + len(lines[j - 1])))
+                    i = j - 1
+                    break
+            i += 1
+        assert set(secrets.confirmed_spans(text, text.encode())) == want, text
+
+
+def test_escaped_line_breaks_and_indented_code():
+    for width in (40, 64):
+        parts = [KEY[i : i + width] for i in range(0, len(KEY), width)]
+        text = '{"key": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(parts) + '\\n-----END PRIVATE KEY-----\\n"}'
+        (kind, a, b), = secrets.confirmed_spans(text, text.encode())
+        assert kind == "private_key" and text[a:b].startswith(parts[0]) and parts[-1] in text[a:b]
+        bare = "\n".join(parts)
+        assert secrets.confirmed_spans(bare, bare.encode()) == [("private_key", 0, len(bare))]
+
+
 @pytest.mark.parametrize("head", ['{ "alg":"HS256"}', '{\n"alg": "HS256"}', ' {"alg":"HS256"}', '{"alg":"HS256"}'])
 def test_tokens_with_any_header_form(head):
     code = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
