@@ -54,7 +54,8 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(spark, table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    last = F.try_element_at("positions", F.lit(-1)).alias("last_position")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("passes"), "position", last)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
