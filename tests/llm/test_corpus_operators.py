@@ -419,7 +419,7 @@ def test_mix_carries_documents_and_every_pass(spark):
     assert max(len(r["positions"]) for r in rows) == 3
     slope = dict(zip(["s1", "s2", "s3", "s4"], [*curriculum.SLOPES, curriculum.SLOPES[0]], strict=True))
     before = collections.Counter()
-    for r in sorted(rows, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+    for r in sorted((r for r in rows if r["size"]), key=lambda r: hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()):
         assert {c: r[c] for c in docs.columns} == given[r["doc_id"]].asDict()
         budget, n, taken = math.floor(r["target"] + 0.5), before[r["source"]], 0
         demands = []
@@ -434,6 +434,17 @@ def test_mix_carries_documents_and_every_pass(spark):
             assert r["target"] * (t + slope[r["source"]] * (t - t**2)) == pytest.approx(demand)
 
 
+def test_mix_spreads_rows_without_an_id(spark):
+    texts = [f"text number {i}" for i in range(400)] + ["", None] * 200
+    docs = documents(spark, texts, ids=[None] * len(texts))
+    plan = curriculum.mix(spark, docs)
+    assert sorted(map(str, plan.collect())) == sorted(map(str, curriculum.mix(spark, docs.repartition(3)).collect()))
+    places = [r["position"] for r in plan.collect() if r["taken"]]
+    assert places == sorted(places) and len(set(places)) == len(places)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text
+
+
 def test_mix_stays_in_the_jvm(spark, sf):
     plan = queries.op10_curriculum(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
