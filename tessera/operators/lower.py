@@ -14,13 +14,16 @@ from . import grouping, ordering, relations
 
 
 @dataclass
-class Step:
+class PlanStep:
     """A logical operator: its text, the rows below it, and (for scans) the row count known beforehand."""
 
     text: str
     df: DataFrame
-    children: list[Step] = field(default_factory=list)
+    children: list[PlanStep] = field(default_factory=list)
     estimate: int | None = None
+    #: Set once the plan has run for its text.
+    rows: int | None = None
+    detail: str = ""
 
 
 @dataclass
@@ -37,13 +40,22 @@ def _scan_text(ref: TableRef) -> str:
     return f"SeqScan {ref.name}" + (f" AS {ref.alias}" if ref.alias else "")
 
 
-def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source], algorithm: str = "auto", deterministic: bool = False) -> Step:
-    """Joins left-deep as written, WHERE above them; Catalyst pushes each term to the scan it belongs to."""
+def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source], algorithm: str = "auto", deterministic: bool = False, watch: Callable[[DataFrame], DataFrame] | None = None) -> PlanStep:
+    """Joins left-deep as written, WHERE above them; Catalyst pushes each term to the scan it belongs to.
+
+    watch stands between the steps, to count the rows that pass. Full sorts, which
+    leave the counts as they are, are then left out, as Spark reads their input
+    twice to place the rows.
+    """
+
+    def made(text: str, df: DataFrame, children: list | None = None, estimate: int | None = None) -> PlanStep:
+        return PlanStep(text, watch(df) if watch else df, children or [], estimate)
+
     sources = [source_of(ref.name) for ref, _ in bound.tables]
     keys, indexed, unique = [], set(), set()
     steps = []
     for (ref, columns), source in zip(bound.tables, sources, strict=True):
-        steps.append(Step(_scan_text(ref), relations.scan(source.df, columns), estimate=source.rows))
+        steps.append(made(_scan_text(ref), relations.scan(source.df, columns), estimate=source.rows))
         for c in columns:
             if c.column.name == source.key:
                 keys.append(c.name)
@@ -63,38 +75,39 @@ def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source]
             terms += ready
             where = [t for t in where if t not in ready]
         text = condition_sql(select.joins[i].on)
-        step = Step(f"Join ON {text}", relations.join(step.df, right.df, terms, algorithm, text, indexed), [step, right])
+        step = made(f"Join ON {text}", relations.join(step.df, right.df, terms, algorithm, text, indexed), [step, right])
     if where:
-        step = Step(f"Filter {condition_sql(select.where)}", relations.filter_rows(step.df, where), [step])
+        step = made(f"Filter {condition_sql(select.where)}", relations.filter_rows(step.df, where), [step])
     elif bound.where and relations.never(bound.where):
-        step = Step("Filter", step.df.limit(0), [step])
+        step = made("Filter", step.df.limit(0), [step])
 
     ties = keys
     if bound.groups is not None:
         text = ", ".join(map(ref_sql, select.group_by))
         named = list(dict.fromkeys(value_sql(v) for v in [*(i.value for i in select.items), *(c.left for c in select.having), *(o.value for o in select.order_by)] if v.func))
         head = ": ".join(filter(None, [f"GROUP BY {text}" if text else "", ", ".join(named)]))
-        step = Step(f"HashAggregate {head}", grouping.group(step.df, bound.groups, bound.aggregates, keys if deterministic else None), [step])
+        step = made(f"HashAggregate {head}", grouping.group(step.df, bound.groups, bound.aggregates, keys if deterministic else None), [step])
         ties = [grouping.FIRST] if deterministic and bound.groups and keys else [g.name for g in bound.groups]
         unique = {bound.groups[0].name} if len(bound.groups) == 1 else set()
         if bound.having:
-            step = Step(f"Filter {condition_sql(select.having)}", relations.filter_rows(step.df, bound.having), [step])
+            step = made(f"Filter {condition_sql(select.having)}", relations.filter_rows(step.df, bound.having), [step])
     elif len(sources) > 1:
         unique = set()  # a join may repeat a key
 
     if bound.order:
         text = ", ".join(value_sql(o.value) + (" DESC" if o.descending else "") for o in select.order_by)
         top = "" if bound.limit is None else f" (top {bound.limit})"
-        step = Step(f"Sort {text}{top}", ordering.limit(ordering.sort(step.df, bound.order, ties, unique), bound.limit), [step])
+        ordered = step.df if watch and bound.limit is None else ordering.sort(step.df, bound.order, ties, unique)
+        step = made(f"Sort {text}{top}", ordering.limit(ordered, bound.limit), [step])
     else:
         if deterministic and ties:
-            step = Step("Sort", ordering.sort(step.df, [], ties, set()), [step])
+            step = made("Sort", step.df if watch else ordering.sort(step.df, [], ties, set()), [step])
         if bound.limit is not None:
-            step = Step(f"Limit {bound.limit}", ordering.limit(step.df, bound.limit), [step])
+            step = made(f"Limit {bound.limit}", ordering.limit(step.df, bound.limit), [step])
     if select.items:
         shown = ", ".join(value_sql(i.value) + (f" AS {i.alias}" if i.alias else "") for i in select.items)
-        return Step(f"Project {shown}", relations.project(step.df, bound.output), [step])
-    return Step(step.text, relations.project(step.df, bound.output), step.children, step.estimate)
+        return made(f"Project {shown}", relations.project(step.df, bound.output), [step])
+    return PlanStep(step.text, relations.project(step.df, bound.output), step.children, step.estimate)
 
 
 def _names(term: Term) -> set[str]:

@@ -27,5 +27,9 @@ def sort(df: DataFrame, keys: list[tuple[Bound, bool]], ties: list[str], unique:
 
 
 def limit(df: DataFrame, n: int | None) -> DataFrame:
-    """After a sort, Spark plans both as one top-n."""
-    return df if n is None or n > _MOST else df.limit(n)
+    """After a sort, Spark plans both as one top-n. Its own limit ends at 2^31 - 1 rows; beyond, rows are numbered."""
+    if n is None:
+        return df
+    if n <= _MOST:
+        return df.limit(n)
+    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().filter(lambda row: row[1] < n).map(lambda row: row[0]), df.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column as SparkColumn
@@ -32,12 +33,34 @@ def scan(df: DataFrame, columns: list[Bound]) -> DataFrame:
     return df.select(*(F.col(f"`{c.column.name}`").alias(c.name) for c in columns))
 
 
+def _as_integer(term: Term) -> SparkColumn | None:
+    """An integer column against a decimal as a test of whole numbers, which files can answer from statistics.
+
+    Exact while the decimal is within 2^53, where rounding a column's value to
+    a double keeps its place among such numbers.
+    """
+    value = float(term.right.value)
+    if not term.left.column.kind.is_integer or not abs(value) < 1 << 53:
+        return None
+    left, whole, low = F.col(term.left.name), value.is_integer(), math.floor(value)
+    match term.op:
+        case "=":
+            return left == low if whole else F.lit(False)
+        case "<>":
+            return left != low if whole else left.isNotNull()
+        case ">" | "<=":
+            return _COMPARE[term.op](left, low)
+    return _COMPARE[term.op](left, low if whole else low + 1)
+
+
 def predicate(term: Term) -> SparkColumn:
     """NULL on either side is never true, as a filter drops what is not true."""
     left = F.col(term.left.name)
     if isinstance(term.right, Literal):
         if term.right.is_null:
             return F.lit(None).cast("boolean")
+        if term.as_double and (exact := _as_integer(term)) is not None:
+            return exact
         right = F.lit(float(term.right.value)) if term.as_double else F.lit(term.right.value)
     else:
         right = F.col(term.right.name)

@@ -7,21 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import explain
 from .errors import ExecError, LimitError, SqlError
 from .functions.types import Column, Kind, Literal
-from .operators.lower import Source, Step, lower
+from .operators.lower import Source, PlanStep, lower
 from .operators.relations import JOIN_ALGORITHMS
-from .plans.binder import bind
+from .plans.binder import BoundSelect, bind
 from .plans.nodes import CreateIndex, CreateTable, Insert, Select, Statement, Transaction
 from .plans.parser import parse, parse_script
 from .sources.store import COMPACT_FILES, Store, Stored
 from .sources.tables import MAX_RECORD, Table, check_limits, external
 
 
-#: Rows of an own table up to which its keys are held by the session.
-MAX_KEYS = 5_000_000
+#: Settings under which MIN, MAX and COUNT(*) of whole Parquet tables come from the files' footers.
+_FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
 #: Optimizer rules that place terms elsewhere than written.
 _PLACEMENT = ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in ("PushDownPredicates", "PushPredicateThroughNonJoin", "PushPredicateThroughJoin", "InferFiltersFromConstraints", "ReorderJoin"))
 
@@ -49,7 +50,12 @@ class Session:
     The switches change plans, never answers: join_algorithm (see JOIN_ALGORITHMS);
     access_path "auto", "scan" (no filter pushdown into files) or "index";
     literal_planning (terms stay where they are written); batch_rows (None: Spark's
-    own; 0: a row at a time; n: rows of a columnar batch).
+    own; 0: a row at a time; n: rows of a columnar batch). They hold for the plans
+    made while they are set, whenever those run, and for no others: such plans
+    belong to a Spark session of their own. Tables registered as DataFrames keep
+    the session they came from.
+
+    Without a path, committed rows live in the driver as long as the session.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, durability: str = "full", deterministic: bool = False, strict_limits: bool = True):
@@ -58,14 +64,18 @@ class Session:
         self.store = Store(spark, path, durability) if path else None
         self.external: dict[str, Table] = {}
         self.own: dict[str, Pending] = {n: Pending(t, []) for n, t in self.store.tables.items()} if self.store else {}
+        #: Without a store: the committed tables, and how many of their rows.
+        self.committed: dict[str, tuple[Stored, list[tuple]]] = {}
+        #: Keys of rows not yet written.
         self.keys: dict[str, set[int]] = {}
         self.in_transaction = False
         self.join_algorithm = "auto"
         self.access_path = "auto"
         self.literal_planning = False
         self.batch_rows: int | None = None
-        self._switched: set[str] = set()
-        self.last_plan: Step | None = None
+        self._sessions: dict[tuple, SparkSession] = {}
+        self.last_plan: PlanStep | None = None
+        self.last_select: Select | None = None
 
     def __enter__(self) -> Session:
         return self
@@ -78,15 +88,25 @@ class Session:
         open_ = self.in_transaction
         if open_:
             self._rollback()
+        if self.store is not None:
+            self.store.settle()
         return open_
 
     # Tables.
 
-    def register(self, name: str, df: DataFrame | str, key: str | None = None, renames: dict[str, str] | None = None) -> None:
-        """Makes a DataFrame, or the Parquet files at a path, a read-only table."""
-        if isinstance(df, str):
-            df = self.spark.read.parquet(df)
-        self.external[name] = external(name, df.withColumnsRenamed(renames or {}), key)
+    def register(self, name: str, df: DataFrame | str, key: str | None = None, renames: dict[str, str] | None = None, columns: list[str] | None = None, partial: bool = False) -> None:
+        """Makes a DataFrame, or the Parquet files at a path, a read-only table.
+
+        columns: SQL expressions to select first. Columns of types the dialect
+        lacks are refused, or left out if `partial`.
+        """
+        schema = _schema(self.spark, df) if isinstance(df, str) else None
+
+        def frame(spark: SparkSession) -> DataFrame:
+            found = spark.read.schema(schema).parquet(df) if schema is not None else df
+            return (found.selectExpr(*columns) if columns else found).withColumnsRenamed(renames or {})
+
+        self.external[name] = external(name, frame, frame(self.spark).schema, key, partial)
 
     def table_names(self) -> list[str]:
         return [*self.own, *self.external]
@@ -104,15 +124,16 @@ class Session:
         have = self.own[name].stored.indexed if name in self.own else self.external[name].indexed
         return [c.name for c in self.columns_of(name) if c.name in have]
 
-    def _source(self, name: str, wanted: str | None = None) -> Source:
+    def _source(self, name: str, wanted: str | None = None, spark: SparkSession | None = None) -> Source:
+        spark = spark or self.spark
         if name in self.external:
             t = self.external[name]
-            return Source(t.frame(), t.rows, t.key, frozenset(t.indexed))
+            return Source(t.frame(spark), t.rows, t.key, frozenset(t.indexed))
         pending = self.own[name]
         stored = pending.stored
-        df = self.store.frame(name, stored, wanted) if self.store else self.spark.createDataFrame([], stored.schema())
+        df = self.store.frame(name, stored, wanted, spark) if self.store else spark.createDataFrame([], stored.schema())
         if pending.rows:
-            df = df.unionByName(self.spark.createDataFrame(pending.rows, stored.schema()))
+            df = df.unionByName(spark.createDataFrame(pending.rows, stored.schema()))
         return Source(df, self.row_count(name), stored.columns[0].name, frozenset(stored.indexed))
 
     # Statements.
@@ -142,6 +163,8 @@ class Session:
             return None
         except Exception:
             # Any error while running ends the transaction, and nothing of it stays.
+            if self.store is not None:
+                self.store.reload()
             self._rollback()
             raise
 
@@ -170,13 +193,21 @@ class Session:
             raise ExecError(f"{action} without BEGIN")
         elif action == "COMMIT":
             self.in_transaction = False
-            self._commit()
+            try:
+                self._commit()
+            except Exception:
+                # Nothing of the transaction stays; another session's commit shows from now on.
+                if self.store is not None:
+                    self.store.reload()
+                self._rollback()
+                raise
         else:
             self._rollback()
 
     # SELECT.
 
-    def plan(self, statement: Select) -> Step:
+    def plan(self, statement: Select, watch=None) -> PlanStep:
+        """The statement lowered; watch(DataFrame) stands in for each step's rows, if given."""
         if self.join_algorithm not in JOIN_ALGORITHMS:
             raise ValueError(f"join_algorithm is one of {', '.join(JOIN_ALGORITHMS)}")
         bound = bind(statement, self.columns_of)
@@ -187,28 +218,50 @@ class Session:
                     wanted.setdefault(t.left.label, t.left.column.name)
         by_name = {ref.name: wanted.get(ref.label) for ref, _ in bound.tables}
         self.last_output = [(h, c.column.kind) for c, h in bound.output]
-        return lower(statement, bound, lambda name: self._source(name, by_name[name]), self.join_algorithm, self.deterministic)
+        spark = self._spark(self._settings(bound))
+        return lower(statement, bound, lambda name: self._source(name, by_name[name], spark), self.join_algorithm, self.deterministic, watch)
 
     def _select(self, statement: Select) -> DataFrame:
-        self._apply_switches()
-        self.last_plan = self.plan(statement)
+        self.last_plan, self.last_select = self.plan(statement), statement
         return self.last_plan.df
 
-    def _apply_switches(self) -> None:
+    def _settings(self, bound: BoundSelect) -> dict[str, str]:
+        """What the switches and the statement ask of Spark."""
         wanted: dict[str, str] = {}
         if self.access_path == "scan":
             wanted["spark.sql.parquet.filterPushdown"] = "false"
+        elif bound.groups == [] and len(bound.tables) == 1 and not bound.where and {a.func for a in bound.aggregates} <= {"MIN", "MAX", "COUNT"}:
+            wanted |= _FOOTERS
         if self.literal_planning:
             wanted["spark.sql.optimizer.excludedRules"] = _PLACEMENT
         if self.batch_rows == 0:
             wanted |= {"spark.sql.codegen.wholeStage": "false", "spark.sql.parquet.enableVectorizedReader": "false"}
         elif self.batch_rows:
             wanted["spark.sql.parquet.columnarReaderBatchSize"] = str(self.batch_rows)
-        for key in self._switched - wanted.keys():
-            self.spark.conf.unset(key)
-        for key, value in wanted.items():
-            self.spark.conf.set(key, value)
-        self._switched = set(wanted)
+        return wanted
+
+    def last_batch_rows(self) -> int:
+        """Rows of a batch in the last plan: 0 if it ran a row at a time."""
+        if self.last_plan is None:
+            return 0
+        conf = self.last_plan.df.sparkSession.conf
+        return int(conf.get("spark.sql.parquet.columnarReaderBatchSize")) if conf.get("spark.sql.parquet.enableVectorizedReader") == "true" else 0
+
+    def _spark(self, settings: dict[str, str]) -> SparkSession:
+        """The caller's session, or one with its settings and these."""
+        if not settings:
+            return self.spark
+        given = self.spark.conf.getAll
+        key = (frozenset(settings.items()), frozenset(given.items()))
+        if key not in self._sessions:
+            own = self.spark.newSession()
+            for k, v in given.items():
+                if own.conf.get(k, None) != v and own.conf.isModifiable(k):
+                    own.conf.set(k, v)
+            for k, v in settings.items():
+                own.conf.set(k, v)
+            self._sessions[key] = own
+        return self._sessions[key]
 
     # The catalog's own questions.
 
@@ -221,7 +274,7 @@ class Session:
 
     def index_bounds(self, name: str, column: str) -> tuple | None:
         """Smallest and largest value of a column, None if it has none; from file statistics where Spark pushes it down."""
-        low, high = self._source(name).df.agg(F.min(f"`{column}`"), F.max(f"`{column}`")).first()
+        low, high = self._source(name, spark=self._spark(_FOOTERS)).df.agg(F.min(f"`{column}`"), F.max(f"`{column}`")).first()
         return None if low is None else (low, high)
 
     def count_index(self, name: str, column: str, low, high, most: int) -> int:
@@ -229,7 +282,8 @@ class Session:
         return self._source(name).df.filter(F.col(f"`{column}`").between(low, high)).limit(most).count()
 
     def explain_last(self, estimates: bool = False, physical: bool = False) -> str:
-        return explain.text(self.last_plan, estimates, physical)
+        """The last SELECT's steps with the rows each produced, counted in one run of the plan."""
+        return explain.text(self.last_select and explain.watched(self.plan, self.last_select), estimates, physical)
 
     # Definition and change.
 
@@ -280,19 +334,16 @@ class Session:
         self.own[s.table].rows.append(row)
 
     def _has_key(self, name: str, key: int) -> bool:
-        """Keys of a table of up to MAX_KEYS rows are read once, so an INSERT needs no Spark job; larger tables are asked."""
-        stored = self.own[name].stored
-        column = F.col(f"`{stored.columns[0].name}`")
+        """Rows not yet written are known by key; of files, only row groups whose key range holds the key are read."""
         if name not in self.keys:
             self.keys[name] = {r[0] for r in self.own[name].rows}
-            if stored.files and stored.rows <= MAX_KEYS:
-                self.keys[name] |= {r[0] for r in self.store.frame(name, stored).select(column).toLocalIterator()}
         if key in self.keys[name]:
             return True
-        return stored.rows > MAX_KEYS and bool(self.store.frame(name, stored).filter(column == key).limit(1).count())
+        return self.store is not None and self.store.has_key(self.own[name].stored, key)
 
     def _commit(self) -> None:
         if self.store is None:
+            self.committed = {n: (p.stored, list(p.rows)) for n, p in self.own.items()}
             return
         before = self.store.tables
         if all(not p.rows and before.get(n) is p.stored for n, p in self.own.items()):
@@ -309,9 +360,12 @@ class Session:
             after[name] = stored
         self.store.commit(after)
         self.own = {n: Pending(t, []) for n, t in after.items()}
+        self.keys.clear()
 
     def cluster(self, name: str, column: str) -> None:
         """Writes a copy of an own table clustered by an indexed column, whose row groups prune range scans."""
+        if self.in_transaction or self.store is None:
+            raise ExecError("a table can be clustered only in a stored database, outside a transaction")
         stored = self.own[name].stored
         if column not in stored.indexed:
             raise ExecError(f"column {name}.{column} has no index")
@@ -324,10 +378,21 @@ class Session:
         if self.store is not None:
             self.own = {n: Pending(t, []) for n, t in self.store.tables.items()}
         else:
-            self.own = {}
+            self.own = {n: Pending(stored, list(rows)) for n, (stored, rows) in self.committed.items()}
         self.keys.clear()
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of Parquet files, read once in an application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return _schemas[key]
+
+
 def _changed(stored: Stored, **values) -> Stored:
     return Stored(**{"columns": stored.columns, "files": stored.files, "rows": stored.rows, "indexed": stored.indexed, "clustered": stored.clustered} | values)
 

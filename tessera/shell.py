@@ -15,7 +15,7 @@ from .sources.store import DURABILITY
 USAGE = "usage: python -m tessera [--plain] [--durability full|normal|off] DATABASE [-c SQL]"
 
 
-def cell(value, kind: Kind, places: int = 2) -> str:
+def cell(value, kind: Kind, places: int = 0) -> str:
     """A value as a person reads it."""
     if value is None:
         return "NULL"
@@ -32,7 +32,7 @@ def plain_cell(value, kind: Kind) -> str:
     return f"{value:.17g}" if kind is Kind.DOUBLE else str(value)
 
 
-def table_lines(r: Result, places: int = 2) -> list[str]:
+def table_lines(r: Result, places: int = 0) -> list[str]:
     """Aligned columns: text to the left, everything else to the right (columns of NULLs to the left)."""
     shown = [[cell(v, k, places) for v, k in zip(row, r.kinds, strict=True)] for row in r.rows]
     out = [r.columns, ["" for _ in r.columns], *shown]
@@ -147,11 +147,16 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     if spark is None:
         spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         spark.sparkContext.setLogLevel("OFF")
-    shell = Shell(Session(spark, path, durability=durability, deterministic=True), plain)
+    session = Session(spark, path, durability=durability, deterministic=True)
+    if session.store.recovery.transactions:
+        print(f"recovered: {session.store.recovery.transactions} transactions, {session.store.recovery.discarded} files without a commit", file=sys.stderr)
+    shell = Shell(session, plain)
     if command is not None:
         done, last = split(command)
         for sql in [*done, last]:
             shell.run(sql)
         shell.session.close()
         return 1 if shell.errors else 0
-    return shell.read(sys.stdin, "tessera" if sys.stdin.isatty() else "")
+    if interactive := sys.stdin.isatty():
+        print(f"tessera -- {path} (statements end with ';', .quit to leave)")
+    return shell.read(sys.stdin, "tessera" if interactive else "")
