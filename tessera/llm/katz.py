@@ -1,38 +1,49 @@
-"""Katz backoff bigram scores: Good-Turing discounts, exactly normalised backoff.
-
-    p(w | h) = d(c(h,w)) c(h,w) / c(h)      if c(h,w) > 0
-             = alpha(h) p(w)                otherwise
-    p(w)     = d(c(w)) c(w) / N, and what is left for the one unknown word
-    alpha(h) = (1 - sum of the seen p(.|h)) / (1 - sum of p over the seen words)
-
-Everything moves forward through hash-partitioned tables; no side is broadcast
-but the scalars and the words too frequent for one partition.
-
-1. Unigrams: each chunk of documents sends its distinct words with their counts
-   to partitions by word; the merged counts are stored as a table until what
-   the next step needs of them is read.
-2. Bigrams: each chunk sends its distinct bigrams, with the documents they stand
-   in, to partitions by second word, where c(w) and c(h,w) are complete. Words
-   that alone would fill a partition are dealt by bigram instead, and their
-   counts, already known, are broadcast. Stored by partition: per document what
-   its seen and unseen bigrams contribute; per context the discounted mass and
-   the followers' unigram mass; per unseen bigram its context.
-3. Contexts: partitions by context turn the masses into alpha(h) and add
-   log alpha(h) to the documents of the unseen bigrams.
-
-As the discounts are only known once all counts are, step 2 stores how often
-each small count occurs (0 to CUT) rather than logarithms of them.
-
-Defined cases: null texts are empty and hold the end token only; null ids train
-and score like others; repeated rows count and return once each; an empty
-training set makes every token the unknown word with probability one; an empty
-table gives no row.
+"""Katz backoff scores: Good-Turing discounts, exactly normalised backoff weights, any order.
+
+    p(w | ctx) = d(c(ctx w)) c(ctx w) / c(ctx)     if c(ctx w) > 0
+               = alpha(ctx) p(w | shorter ctx)     otherwise (alpha = 1 where ctx never trained)
+    p(w)       = d(c(w)) c(w) / N, and what is left for the one unknown word
+    alpha(ctx) = (1 - sum of the seen p(.|ctx)) / (1 - sum of p(.|shorter ctx) over the seen words)
+
+The order is a parameter. Texts begin with order - 1 start marks and close with
+an end token, so counts of shorter n-grams are sums over those of full order.
+Everything moves through tables of packed arrays, dealt by word to parts of
+bounded size; no side is broadcast but scalars and at most HOT_MOST words.
+
+1. Words: each chunk of documents sends its distinct words with their counts to
+   the words' parts. The merged counts tell the words too frequent for one part
+   (a matter of the plan only: they are dealt by word pair instead).
+2. N-grams: each chunk sends its distinct n-grams, with the documents they stand
+   in, to the part of their last word, where the counts of all its n-grams are
+   complete. Stored: the n-gram table; per token of the texts how far down it
+   has to back off and the count met there; where it does back off, requests
+   for the weights of the contexts passed.
+3. Weights: the n-gram table's rows are summed by context, in the part of the
+   context's last word, and become backoff weights, stored as a table too; the
+   requests are answered there.
+4. Texts: each chunk gets its tokens' levels and counts and the answers, applies
+   the discounts token by token, and adds up.
+
+The last word of one context is the token before it, so a token's own part also
+knows how often the next token's full context occurred; that normaliser is
+taken from there, and requests for full contexts bring alpha times count.
+
+`train` returns the model with its tables; `Model.score` scores any other texts
+with them by the same steps.
+
+Defined cases: null, empty and word-less texts hold the end token only; texts of
+any length count whole; null ids train and score like others; repeated rows
+count and return once each; an empty training set makes every token the unknown
+word with probability one; an empty table gives no row; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +52,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, Scratch, held_out, join_hashes, text_blocks, trim, word_hashes, words
-from .packed import pack, unpack
+from .packed import COLUMNS, batches_of, blob_rows, by_key, by_part, grouped, pack, part_of, slices, unpack
 
+ORDER = 3
 #: Counts up to CUT get Good-Turing discounts; larger ones keep all but a sliver, so that every context has mass to give.
 CUT = 5
 LARGE = 0.999
-#: Tokens aimed at per partition, and bytes of text per chunk.
+#: Tokens aimed at per part, and bytes of text per chunk.
 PART_TOKENS = 1_750_000
 CHUNK_BYTES = 16 << 20
-#: Contexts are named by 48 bits of their word's hash: three quarters of the bytes, and still no collisions to speak of.
-CONTEXT = np.uint64((1 << 48) - 1)
+#: Words dealt by pair at most; which ones changes no result.
+HOT_MOST = 1 << 20
 #: Hashes that stand for the end and the start of a text.
 END, START = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0x0000AE3D27D4EB4F)
+#: What a request asks of a context: alpha times its count, alpha, or one over its count.
+FULL, ALPHA, COUNT = range(3)
+
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 class Chunk:
@@ -70,21 +86,17 @@ class Chunk:
         n = batch.num_rows
         token = np.full(len(starts) + n, END, np.uint64)
         token[np.arange(len(starts)) + rows] = word_hashes(low, starts, ends)
-        counts = np.bincount(rows, minlength=n) + 1
-        self.parts.append((token, np.repeat(np.arange(self.docs, self.docs + n, dtype=np.int32), counts), counts))
+        self.parts.append((token, np.bincount(rows, minlength=n) + 1))
         self.ids += batch.column(0).to_pylist()
         self.out += batch.column(1).to_pylist()
         self.docs += n
         self.bytes += len(data)
 
-    def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """token, context, document of each position; tokens and training flag of each document."""
-        token, doc, counts = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+    def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all documents; tokens and training flag of each document."""
+        token, counts = (np.concatenate([p[i] for p in self.parts]) for i in range(2))
         self.parts.clear()
-        context = np.empty_like(token)
-        context[1:] = token[:-1] & CONTEXT
-        context[np.concatenate([[0], np.cumsum(counts)[:-1]])] = START
-        return token, context, doc, counts, ~np.array(self.out, bool)
+        return token, counts, ~np.array(self.out, bool)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
@@ -99,299 +111,492 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
         yield (part << 24) + seq, chunk
 
 
-def _rows(rows: list[tuple], names: tuple = ("kind", "key", "chunk", "blob")) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "key": pa.int64(), "chunk": pa.int64(), "blob": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names=list(names))
-
+@dataclass
+class Plan:
+    """What all tasks know: the order, the parts, and the words dealt by pair with their counts."""
 
-def _slices(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, start, end) of the runs of a sorted array."""
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b > a:
-            yield int(key[a]), a, b
+    order: int
+    parts: int
+    hot: np.ndarray
+    hot_counts: np.ndarray
 
+    def known(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are hot, and where in the list."""
+        if not len(self.hot):
+            return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+        slot = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+        return self.hot[slot] == word, slot
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    def place(self, word: np.ndarray, index: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+        """The part of each row by its word, and of a hot word by the pair. index, second: into `word`."""
+        where, hot = part_of(word, self.parts), self.known(word)[0]
+        out = where[index]
+        if second is not None and hot.any():
+            at = np.flatnonzero(hot[index])
+            out[at] = part_of(join_hashes(word[index[at]], word[second[at]]), self.parts)
+        return out
 
 
 def _word_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _chunks(batches):
-            token, _, doc, _, train = chunk.streams()
-            word, inverse = np.unique(token[train[doc]], return_inverse=True)
-            count = np.bincount(inverse, minlength=len(word)).astype(np.uint64)
-            where = _part(word, parts)
+            token, counts, train = chunk.streams()
+            word, count = np.unique(token[np.repeat(train, counts)], return_counts=True)
+            where = part_of(word, parts)
             order = np.argsort(where, kind="stable")
-            rows = [(p, number, pack(word[order[a:b]], count[order[a:b]])) for p, a, b in _slices(where[order])]
-            del token, doc, word, inverse
+            rows = [(p, number, pack(word[order[a:b]], count[order[a:b]].astype(np.uint64))) for p, a, b in slices(where[order])]
+            del token, word
             trim()
             if rows:
-                yield _rows(rows, ("key", "chunk", "blob"))
+                yield blob_rows(rows, ("key", "chunk", "blob"))
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple) -> Iterator[tuple[int, list[tuple]]]:
-    """(key, rows) of batches sorted by key, the first column."""
-    current, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
-            if row[0] != current and held:
-                yield current, held
-                held = []
-                trim()
-            current = row[0]
-            held.append(row[1:])
-    if held:
-        yield current, held
-        trim()
-
-
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _grouped(batches, ("key", "blob")):
+    for _, rows in grouped(batches, ("key", "blob")):
         arrays = [unpack(blob) for (blob,) in rows]
         word, inverse = np.unique(np.concatenate([a[0] for a in arrays]).astype(np.uint64), return_inverse=True)
         count = np.bincount(inverse, weights=np.concatenate([a[1] for a in arrays])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], names=["word", "n"])
 
 
-def _sorted_by_key(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "key").sortWithinPartitions("key")
+def _own_words(words_: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words that the columns of indices use, and the columns as indices into those."""
+    if len(columns) * len(columns[0]) * 16 < len(words_):
+        used, back = np.unique(np.concatenate(columns), return_inverse=True)
+        return words_[used], np.split(back, len(columns))
+    used = np.zeros(len(words_), bool)
+    for c in columns:
+        used[c] = True
+    place = np.cumsum(used) - 1
+    return words_[used], [place[c] for c in columns]
+
+
+def _one_key(columns: list[np.ndarray], size: int) -> np.ndarray:
+    """A number for each row of columns of values under `size`, in the columns' order."""
+    key, top = columns[0].astype(np.uint64), size
+    for c in columns[1:]:
+        if top * size >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            key, top = key.astype(np.uint64), len(values)
+        key = key * np.uint64(size) + c.astype(np.uint64)
+        top *= size
+    return key
 
 
-def _bigrams(parts: int, hot: np.ndarray):
-    """Rows (key, chunk, blob): distinct bigrams of the chunk by partition; key -1 - part: the chunk's documents."""
+def _ngrams(plan: Plan, first: int, last: int, about: bool):
+    """N: the chunk's distinct n-grams and their documents, to parts first to last; docs, if `about`: the chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _chunks(batches):
-            token, context, doc, counts, train = chunk.streams()
-            pair = join_hashes(token, context)
-            where = _part(token, parts)
-            if len(hot):
-                slot = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                where = np.where(hot[slot] == token, _part(pair, parts), where)
-            order = np.argsort(pair, kind="stable")
-            order = order[np.argsort(token[order], kind="stable")]
-            order = order[np.argsort(where[order], kind="stable")]
-            where, pair = where[order], pair[order]
-            token, context = token[order], context[order]
-            doc = doc[order]
-            code = doc.astype(np.uint32) * np.uint32(2) + train[doc]
-            del order, doc
-            ids = np.array([0 if i is None else i for i in chunk.ids], np.int64)
-            null = np.array([i is None for i in chunk.ids], np.uint8)
-            rows = [(number % parts, number, b"D" + pack(ids, null, train.astype(np.uint8), counts.astype(np.uint64)))]
-            for p, a, b in _slices(where):
-                new = np.flatnonzero(np.concatenate([[True], pair[a + 1 : b] != pair[a : b - 1]]))
-                times = np.diff(np.append(new, b - a)).astype(np.uint64)
-                own = token[a:b][new]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                rows.append((p, number, b"B" + pack(own[first], np.diff(np.append(first, len(own))).astype(np.uint64), context[a:b][new], times, code[a:b])))
-            del token, context, pair, where, code
+            token, counts, train = chunk.streams()
+            if about:
+                ids = np.array([0 if i is None else i for i in chunk.ids], np.int64)
+                null = np.array([i is None for i in chunk.ids], np.uint8)
+                yield blob_rows([("docs", first + crc32(b"%d" % number) % (last - first), number, pack(ids, null, train.astype(np.uint8), counts.astype(np.uint64)))])
+            word, index = np.unique(np.append(token, START), return_inverse=True)
+            index = index.astype(np.int32)
+            start, index = index[-1], index[:-1]
+            doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            inside = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [index]
+            for j in range(1, plan.order):
+                before = np.full(len(index), start, np.int32)
+                before[j:] = index[:-j] if j < len(index) else index[:0]
+                before[inside < j] = start
+                columns.append(before)
+            where = plan.place(word, index, columns[1] if plan.order > 1 else None)
+            keep = np.flatnonzero((where >= first) & (where < last))
+            key = _one_key([c[keep] for c in columns], len(word))
+            order = np.argsort(key, kind="stable")
+            near = (where[keep][order] - first).astype(np.uint16 if last - first < 1 << 16 else np.int32)
+            order = order[np.argsort(near, kind="stable")]
+            where, key, keep = where[keep][order], key[order], keep[order]
+            columns = [c[keep] for c in columns]
+            code = doc[keep].astype(np.uint32) * np.uint32(2) + train[doc[keep]]
+            del token, index, doc, inside, keep, order
+            rows = []
+            for p, a, b in slices(where):
+                new = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
+                times = np.diff(np.append(new, b - a))
+                own, local = _own_words(word, [c[a:b][new] for c in columns])
+                rows.append(("N", p, number, pack(own, *(c.astype(np.uint64) for c in local), times.astype(np.uint64), code[a:b])))
+            del columns, where, key, code
             trim()
-            for lo in range(0, len(rows), 16):
-                yield _rows(rows[lo : lo + 16], ("key", "chunk", "blob"))
+            yield from batches_of(rows, 16)
 
     return run
 
 
-def _count_bigrams(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
-    """The complete bigrams of each partition, as rows (kind, key, chunk, blob)."""
+class Counts:
+    """The n-grams of one part: distinct rows of full order, with the trained counts of every length.
+
+    ids[k - 1]: the number of each row's k-gram (its last word and k - 1 words
+    before); of[k - 1]: its count; links[k - 1]: the shorter k-gram and the added
+    word of every k-gram (for k = 1 the word).
+    """
+
+    def __init__(self, plan: Plan, parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]):
+        """parts: (words, columns of indices into them, trained count) of some rows each."""
+        every = np.concatenate([w for w, _, _ in parts])
+        self.words, back = np.unique(every, return_inverse=True)
+        at, columns = 0, [[] for _ in range(plan.order)]
+        for w, local, _ in parts:
+            mine = back[at : at + len(w)].astype(np.int32)
+            at += len(w)
+            for out, c in zip(columns, local, strict=True):
+                out.append(mine[c.astype(np.int64)])
+        self.columns = [np.concatenate(c) for c in columns]
+        trained = np.concatenate([t for _, _, t in parts]).astype(np.float64)
+        size = len(self.words)
+        self.ids, self.of, self.links = [], [], []
+        key, before = self.columns[0].astype(np.int64), None
+        for k in range(plan.order):
+            if k:
+                key = before.astype(np.int64) * size + self.columns[k]
+            values, before = np.unique(key, return_inverse=True)
+            before = before.astype(np.int32)
+            self.ids.append(before)
+            self.of.append(np.bincount(before, weights=trained, minlength=len(values)).astype(np.int64))
+            self.links.append((values // size, values % size) if k else (values, values))
+        hot, slot = plan.known(self.words[self.links[0][0]])
+        self.of[0][hot] = plan.hot_counts[slot[hot]]
+
+    def table(self) -> bytes:
+        """The trained n-grams: words; last word and count; and for longer ones shorter n-gram, added word, count."""
+        out, renamed = [self.words], None
+        for k, ((link, added), count) in enumerate(zip(self.links, self.of, strict=True)):
+            live = np.flatnonzero(count > 0)
+            if k:
+                out.append(renamed[link[live]].astype(np.uint64))
+            out += [added[live].astype(np.uint64), count[live].astype(np.uint64)]
+            renamed = np.cumsum(count > 0) - 1
+        return pack(*out)
+
+
+def _table_rows(blob: bytes, order: int) -> tuple[np.ndarray, list[list[np.ndarray]], list[np.ndarray], list[np.ndarray]]:
+    """Words; for each k the columns of its k-grams, their counts, and the counts of the next shorter ones."""
+    word, *rest = unpack(blob)
+    columns, counts, shorter = [[rest[0].astype(np.int64)]], [rest[1].astype(np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, order):
+        link, added, count = (x.astype(np.int64) for x in rest[3 * k - 1 : 3 * k + 2])
+        columns.append([*(c[link] for c in columns[-1]), added])
+        shorter.append(counts[-1][link])
+        counts.append(count)
+    return word.astype(np.uint64), columns, counts, shorter
+
+
+def _chain(words_: list[np.ndarray]) -> np.ndarray:
+    """The name of each context: a hash of its words, the last first."""
+    out = words_[0]
+    for w in words_[1:]:
+        out = join_hashes(out, w)
+    return out
+
+
+def _count(plan: Plan):
+    """Of each part's n-grams: their table, how many have each small count, the levels of the texts' tokens, and requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, ("key", "chunk", "blob")):
-            about = [(chunk, blob) for chunk, blob in rows if blob[:1] == b"D"]
-            if about:
-                yield _rows([("docs", chunk, chunk, blob[1:]) for chunk, blob in about])
-            rows = [(chunk, blob) for chunk, blob in rows if blob[:1] == b"B"]
-            if not rows:
+        for key, rows in grouped(batches, ("key", "kind", "chunk", "blob")):
+            yield from batches_of([("docs", chunk, chunk, blob) for kind, chunk, blob in rows if kind == "docs"], 16)
+            stored = [blob for kind, _, blob in rows if kind == "ngrams"]
+            rows = [(chunk, unpack(blob)) for kind, chunk, blob in rows if kind == "N"]
+            parts, sizes, codes = [], [], []
+            for blob in stored:
+                word, columns, counts, _ = _table_rows(blob, plan.order)
+                parts.append((word, columns[-1], counts[-1]))
+            given = sum(len(p[2]) for p in parts)
+            for _, (word, *columns, times, code) in rows:
+                times = times.astype(np.int64)
+                codes.append(code.astype(np.uint32))
+                begin = np.cumsum(times) - times
+                parts.append((word.astype(np.uint64), columns, np.add.reduceat(codes[-1] & 1, begin)))
+                sizes.append(times)
+            if not parts:
                 continue
-            arrays = [unpack(blob[1:]) for _, blob in rows]
-            token = np.concatenate([np.repeat(a[0].astype(np.uint64), a[1].astype(np.int64)) for a in arrays])
-            context = np.concatenate([a[2].astype(np.uint64) for a in arrays])
-            times = np.concatenate([a[3].astype(np.int64) for a in arrays])
-            code = np.concatenate([a[4].astype(np.uint32) for a in arrays]).astype(np.int32)
-            sizes = [len(a[4]) for a in arrays]
-            del arrays
-            begin = np.concatenate([[0], np.cumsum(times)[:-1]])
-            trained = np.add.reduceat(code & 1, begin)
-            _, one, pair = np.unique(join_hashes(token, context), return_index=True, return_inverse=True)
-            pair = pair.astype(np.int32)
-            c2 = np.bincount(pair, weights=trained).astype(np.int64)
-            word, back = np.unique(token, return_inverse=True)
-            c1 = np.bincount(back, weights=trained, minlength=len(word)).astype(np.int64)
-            if len(hot):
-                slot = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-                known = hot[slot] == word
-                c1[known] = hot_counts[slot[known]]
-            small = np.bincount(np.minimum(c2, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-            out = [("stats", 0, 0, pack(small.astype(np.int64)))]
-
-            # Contexts: of each distinct trained bigram, by classes of both counts.
-            live = np.flatnonzero(c2)
-            h, n2, n1 = context[one[live]], c2[live].astype(np.int64), c1[back[one[live]]].astype(np.int64)
-            cls = np.minimum(n2, CUT + 1) * (CUT + 2) + np.minimum(n1, CUT + 1)
-            order = np.lexsort((cls, h))
-            h, n2, n1, cls = h[order], n2[order], n1[order], cls[order]
-            if len(h):
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]))
-                n = np.diff(np.append(first, len(h)))
-                s2 = np.add.reduceat(np.where(n2 > CUT, n2, 0), first)
-                s1 = np.add.reduceat(np.where(n1 > CUT, n1, 0), first)
-                h, cls = h[first], cls[first]
-                where = _part(h, parts)
-                order = np.argsort(where, kind="stable")
-                for p, a, b in _slices(where[order]):
-                    i = order[a:b]
-                    out.append(("context", p, 0, pack(h[i], *(x[i].astype(np.uint64) for x in (cls, n, s2, s1)))))
-
-            # Documents: contributions by position, summed per chunk and document.
-            at = 0
-            unseen: list[tuple] = []
-            masked = np.sort(hot & CONTEXT)
-            event = np.repeat(np.arange(len(times), dtype=np.int32), times)
-            c2, c1 = c2.astype(np.int32), c1.astype(np.int32) if c1.max(initial=0) < 1 << 31 else c1
-            e2, e1 = c2[pair][event], c1[back][event]
-            end = (token == END)[event]
-            for (chunk, _), size in zip(rows, sizes, strict=True):
-                s = slice(at, at + size)
-                at += size
-                docs, mine = np.unique(code[s] >> 1, return_inverse=True)
-                x2, x1 = e2[s], e1[s]
-                add = lambda v, mine=mine, docs=docs: np.bincount(mine, weights=v, minlength=len(docs))
-                log1 = np.log10(np.maximum(x1, 1))
-                seen = x2 > 0
-                total = add(np.where(x2 > CUT, np.log10(np.maximum(x2, 1)), 0) + np.where(~seen & (x1 > CUT), log1, 0) - np.where(end[s], 0, log1))
-                marks = [add((x2 == r) if r <= CUT else (x2 > CUT)) for r in range(1, CUT + 2)]
-                marks += [add(~seen & ((x1 == r) if r <= CUT else (x1 > CUT))) for r in range(CUT + 2)]
-                out.append(("sums", chunk, chunk, pack(docs.astype(np.uint64), add(np.log10(x1 + 1.0)), total, add(x1 > 0).astype(np.uint64), *(m.astype(np.uint64) for m in marks))))
-                lost = np.flatnonzero(~seen)
+            counts = Counts(plan, parts)
+            out = []
+            if not stored:
+                out.append(("ngrams", key, 0, counts.table()))
+                # Words are counted whole in step 1, as a hot one's rows are in several parts.
+                small = [np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[1 : CUT + 2] for c in counts.of[1:]]
+                out.append(("stats", 0, 0, pack(*(s.astype(np.int64) for s in small))))
+            by_row = [of[ids] for of, ids in zip(counts.of, counts.ids, strict=True)]
+            level = np.zeros(len(by_row[0]), np.uint8)
+            for k, c in enumerate(by_row):
+                level[c > 0] = k + 1
+            met = np.choose(level, [np.zeros(len(level), np.int64), *by_row])
+            end = counts.words[counts.columns[0]] == END
+            following = np.where(end, 0, by_row[plan.order - 2]) if plan.order > 1 else np.zeros(len(level), np.int64)
+            at = given
+            for (chunk, _), times, code in zip(rows, sizes, codes, strict=True):
+                s = slice(at, at + len(times))
+                at += len(times)
+                event = np.repeat(np.arange(s.start, s.stop), times)
+                doc = code >> 1
+                out.append(("tokens", chunk, chunk, pack(doc.astype(np.uint64), *(x[event].astype(np.uint64) for x in (level, met, by_row[0], following)))))
+                lost = np.flatnonzero(level[event] < plan.order) if plan.order > 1 else np.zeros(0, np.int64)
                 if len(lost):
-                    h, d = context[event[s][lost]], code[s][lost] >> 1
-                    often = h == START
-                    if len(hot):
-                        often |= masked[np.minimum(np.searchsorted(masked, h), len(hot) - 1)] == h
-                    if often.any():
-                        out.append(("often", 0, chunk, pack(h[often], d[often].astype(np.uint64))))
-                    unseen.append((h[~often], d[~often], np.full(len(h) - often.sum(), chunk)))
-            if unseen:
-                h, d, of = (np.concatenate([u[i] for u in unseen]) for i in range(3))
-                where = _part(h, parts)
-                order = np.argsort(where, kind="stable")
-                for p, a, b in _slices(where[order]):
-                    i = order[a:b]
-                    out.append(("unseen", p, 0, pack(h[i], d[i].astype(np.uint64), of[i].astype(np.uint64))))
-            for lo in range(0, len(out), 256):
-                yield _rows(out[lo : lo + 256])
+                    out += _requests(plan, counts, level, event[lost], doc[lost], chunk)
+            yield from batches_of(out, 64)
 
     return run
 
 
-def discounts(counts: list[int]) -> np.ndarray:
-    """d[0..CUT+1] from the numbers of types seen 1 to CUT+1 times; d[CUT+1] is that of larger counts."""
-    n = [0, *counts]
-    d = np.ones(CUT + 2)
-    d[CUT + 1] = LARGE
-    ratio = (CUT + 1) * n[CUT + 1] / n[1] if n[1] else 1.0
-    for r in range(1, CUT + 1):
-        value = ((r + 1) * n[r + 1] / (n[r] * r) - ratio) / (1 - ratio) if n[r] and ratio < 1 else 0.0
-        d[r] = value if 0 < value < 1 else (r - 0.5) / r  # too few types for Good-Turing: absolute discounting
-    return d
+def _requests(plan: Plan, counts: Counts, level: np.ndarray, row: np.ndarray, doc: np.ndarray, chunk: int) -> list[tuple]:
+    """ask: what the tokens of some rows need of the contexts passed on the way down; often: the same of contexts that all know."""
+    asked: list[tuple] = []
+    for m in range(1, plan.order):  # contexts of m words, passed by tokens met at level m or below, or the ground of level m + 1
+        names = _chain([counts.words[c[row]] for c in counts.columns[1 : m + 1]])
+        passed = level[row] <= m
+        ground = (level[row] == m + 1) & (m + 1 < plan.order)
+        for mask, what in ((passed, FULL if m + 1 == plan.order else ALPHA), (ground, COUNT)):
+            i = np.flatnonzero(mask)
+            if len(i):
+                first = counts.columns[1][row[i]]
+                second = counts.columns[2][row[i]] if m > 1 else None
+                often = plan.known(counts.words)[0][first] if m == 1 else np.zeros(len(i), bool)
+                often |= names[i] == _chain([np.array([START])] * m)[0]
+                asked.append((names[i], np.full(len(i), what), doc[i], plan.place(counts.words, first, second), often))
+    name, what, of, where, often = (np.concatenate([a[i] for a in asked]) for i in range(5))
+    out = []
+    if often.any():
+        out.append(("often", 0, chunk, pack(name[often], what[often].astype(np.uint64), of[often].astype(np.uint64))))
+    name, what, of, where = (x[~often] for x in (name, what, of, where))
+    order = np.lexsort((name, where))
+    for p, a, b in slices(where[order]):
+        i = order[a:b]
+        out.append(("ask", p, chunk, pack(name[i], what[i].astype(np.uint64), of[i].astype(np.uint64))))
+    return out
+
+
+def _contexts(plan: Plan):
+    """The n-gram table's rows summed by context: words, and of each class of counts (own and shorter) how many and their sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                word, columns, counts, shorter = _table_rows(blob, plan.order)
+                out = []
+                for k in range(1, plan.order):
+                    context = columns[k][1:]
+                    n2, n1 = counts[k], shorter[k]
+                    if not len(n2):
+                        continue
+                    cls = np.minimum(n2, CUT + 1) * (CUT + 2) + np.minimum(n1, CUT + 1)
+                    # A context's rows, by class; the part of its last word, or of its last two where that is hot.
+                    where = plan.place(word, context[0], context[1] if k > 1 else None)
+                    name = _one_key([*context, cls], max(len(word), (CUT + 2) ** 2))
+                    order = np.lexsort((name, where))
+                    new = np.flatnonzero(np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (where[order][1:] != where[order][:-1])]))
+                    n = np.diff(np.append(new, len(order)))
+                    s2 = np.add.reduceat(np.where(n2 > CUT, n2, 0)[order], new)
+                    s1 = np.add.reduceat(np.where(n1 > CUT, n1, 0)[order], new)
+                    one = order[new]
+                    for p, a, b in slices(where[one]):
+                        i = one[a:b]
+                        own, local = _own_words(word, [c[i] for c in context])
+                        out.append((f"context{k}", p, key, pack(own, *(x.astype(np.uint64) for x in (*local, cls[i], n[a:b], s2[a:b], s1[a:b])))))
+                yield from batches_of(out, 64)
+
+    return run
 
 
-def _log_alpha(arrays: list[list[np.ndarray]], d1: np.ndarray, d2: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts, sorted, and log10 of alpha(h) c(h)."""
-    h, cls, n, s2, s1 = (np.concatenate([a[i] for a in arrays]) for i in range(5))
-    h, cls, n, s2, s1 = h.astype(np.uint64), cls.astype(np.int64), n.astype(np.float64), s2.astype(np.float64), s1.astype(np.float64)
+def _sizes(cls: np.ndarray, n: np.ndarray, s2: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Classes of both counts, and the sums of both counts."""
     k2, k1 = cls // (CUT + 2), cls % (CUT + 2)
-    left = np.where(k2 > CUT, s2 * (1 - d2[k2]), n * k2 * (1 - d2[k2]))
-    mass = np.where(k1 > CUT, s1, n * k1) * d1[k1] / total
-    context, back = np.unique(h, return_inverse=True)
-    left = np.bincount(back, weights=left)
-    return context, np.log10(left / np.maximum(1 - np.bincount(back, weights=mass), 1e-12))
+    return k2, k1, np.where(k2 > CUT, s2, n * k2), np.where(k1 > CUT, s1, n * k1)
 
 
-def _back_off(d1: np.ndarray, d2: np.ndarray, total: int, hot: np.ndarray):
-    """Rows of contexts and of unseen bigrams by context: sums by chunk; alphas of frequent contexts as kind 'alpha'."""
+class Weights:
+    """The backoff weights of one part's contexts: by length, names, log10 alpha and log10 count, sorted by name."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, ("key", "kind", "blob")):
-            own = [unpack(blob) for kind, blob in rows if kind == "context"]
-            if not own:
-                continue
-            context, value = _log_alpha(own, d1, d2, total)
-            out = []
-            wanted = np.append(hot & CONTEXT, START)
-            found = np.isin(wanted, context)
-            if found.any():
-                out.append(("alpha", 0, 0, pack(wanted[found], value[np.searchsorted(context, wanted[found])])))
-            lost = [unpack(blob) for kind, blob in rows if kind == "unseen"]
-            if lost:
-                h, d, of = (np.concatenate([a[i] for a in lost]) for i in range(3))
-                order = np.argsort(of, kind="stable")
-                for chunk, a, b in _slices(of[order].astype(np.int64)):
-                    i = order[a:b]
-                    out.append(("more", chunk, chunk, _added([[h[i], d[i]]], context, value)))
-            for lo in range(0, len(out), 256):
-                yield _rows(out[lo : lo + 256])
+    def __init__(self, lengths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.lengths = lengths
 
-    return run
+    @classmethod
+    def of(cls, plan: Plan, discounts: list[np.ndarray], total: int, blobs: dict[int, list[bytes]]) -> Weights:
+        lengths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in range(1, plan.order):
+            arrays = [unpack(b) for b in blobs.get(m, ())]
+            if not arrays:
+                lengths.append((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
+                continue
+            names, shorter = [], []
+            for a in arrays:
+                context = [a[0].astype(np.uint64)[c.astype(np.int64)] for c in a[1 : m + 1]]
+                names.append(_chain(context))
+                shorter.append(_chain(context[:-1]) if m > 1 else context[0])
+            k2, k1, c2, c1 = _sizes(*(np.concatenate([a[m + 1 + i] for a in arrays]).astype(np.int64) for i in range(4)))
+            name, one, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+            count = np.bincount(back, weights=c2)
+            left = np.bincount(back, weights=c2 * (1 - discounts[m][k2])) / count
+            mass = np.bincount(back, weights=c1 * discounts[m - 1][k1])
+            if m == 1:
+                mass /= total
+            else:
+                less = np.concatenate(shorter)[one]
+                before, _, log = lengths[m - 2]
+                at = np.minimum(np.searchsorted(before, less), max(len(before) - 1, 0))
+                ground = 10 ** log[at] if len(before) else np.ones(len(less))
+                if m == 2:  # hot words are whole in the plan only
+                    hot, slot = plan.known(less)
+                    ground = np.where(hot, plan.hot_counts[slot] if len(plan.hot) else 1, ground)
+                mass /= np.rint(ground)
+            lengths.append((name, np.log10(left / np.maximum(1 - mass, 1e-12)), np.log10(count)))
+        return cls(lengths)
+
+    def pack(self) -> bytes:
+        """Few contexts have a weight or a count of their own, so both are stored by value."""
+        out = []
+        for name, alpha, count in self.lengths:
+            out.append(name)
+            for v in (alpha, count):
+                value, index = np.unique(v, return_inverse=True)
+                out += [value, index.astype(np.uint64)]
+        return pack(*out)
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Weights:
+        a = unpack(blob)
+        return cls([(a[i].astype(np.uint64), a[i + 1][a[i + 2].astype(np.int64)], a[i + 3][a[i + 4].astype(np.int64)]) for i in range(0, len(a), 5)])
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All contexts by name."""
+        name, alpha, count = (np.concatenate([x[i] for x in self.lengths]) for i in range(3))
+        order = np.argsort(name)
+        return name[order], alpha[order], count[order]
+
+
+def _answer(known: tuple[np.ndarray, np.ndarray, np.ndarray], blob: bytes) -> bytes:
+    """Per document the sum of what its requests ask for; contexts never trained add nothing."""
+    name, what, doc = unpack(blob)
+    names, alpha, count = known
+    value = np.zeros(len(name))
+    if len(names):
+        at = np.minimum(np.searchsorted(names, name.astype(np.uint64)), len(names) - 1)
+        here = np.choose(what, [alpha[at] + count[at], alpha[at], -count[at]])
+        value = np.where(names[at] == name, here, 0.0)
+    docs, back = np.unique(doc, return_inverse=True)
+    return pack(docs.astype(np.uint64), np.bincount(back, weights=value))
+
+
+def _back_off(plan: Plan, discounts: list[np.ndarray], total: int):
+    """weights: those of the part's contexts (made, unless given); more: answers, by chunk; all: weights that every task gets."""
+    common = [*plan.hot.tolist(), *(int(_chain([np.array([START])] * m)[0]) for m in range(1, plan.order))]
+    common = np.array(sorted(set(common)), np.uint64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in grouped(batches, ("key", "kind", "chunk", "blob")):
+            given = [blob for kind, _, blob in rows if kind == "weights"]
+            if given:
+                weights = Weights.unpack(given[0])
+            else:
+                weights = Weights.of(plan, discounts, total, {m: [b for kind, _, b in rows if kind == f"context{m}"] for m in range(1, plan.order)})
+            known = weights.joined()
+            out = [] if given else [("weights", key, 0, weights.pack())]
+            at = np.isin(known[0], common)
+            if at.any() and not given:
+                out.append(("all", 0, 0, pack(*(x[at] for x in known))))
+            for kind, chunk, blob in rows:
+                if kind == "ask":
+                    out.append(("more", chunk, chunk, _answer(known, blob)))
+            yield from batches_of(out, 64)
 
-def _added(arrays: list[list[np.ndarray]], context: np.ndarray, value: np.ndarray) -> bytes:
-    """Per document the sum of log10 alpha(h) c(h) over its unseen bigrams; 0 for untrained contexts."""
-    h, d = (np.concatenate([a[i] for a in arrays]) for i in (0, 1))
-    h = h.astype(np.uint64)
-    if len(context):
-        slot = np.minimum(np.searchsorted(context, h), len(context) - 1)
-        v = np.where(context[slot] == h, value[slot], 0.0)
-    else:
-        v = np.zeros(len(h))
-    docs, back = np.unique(d, return_inverse=True)
-    return pack(docs.astype(np.uint64), np.bincount(back, weights=v))
+    return run
 
 
-def _often(context: np.ndarray, value: np.ndarray):
+def _often(known: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if chunks:
-                yield _rows([("more", c, c, _added([unpack(b)], context, value)) for c, b in zip(chunks, blobs, strict=True)])
+                yield blob_rows([("more", c, c, _answer(known, b)) for c, b in zip(chunks, blobs, strict=True)])
 
     return run
 
 
-def _finish(d1: np.ndarray, d2: np.ndarray, total: int, types: int, starts: int, unknown_mass: float):
-    first, second = (np.log10(d[1 : CUT + 1] * np.arange(1, CUT + 1)) for d in (d1, d2))
+def discounts_of(counts: list[int]) -> np.ndarray:
+    """d[0..CUT+1] from the numbers of types seen 1 to CUT+1 times; d[CUT+1] is that of larger counts."""
+    n = [0, *counts]
+    d = np.ones(CUT + 2)
+    d[CUT + 1] = LARGE
+    ratio = (CUT + 1) * n[CUT + 1] / n[1] if n[1] else 1.0
+    for r in range(1, CUT + 1):
+        value = ((r + 1) * n[r + 1] / (n[r] * r) - ratio) / (1 - ratio) if n[r] and ratio < 1 else 0.0
+        d[r] = value if 0 < value < 1 else (r - 0.5) / r  # too few types for Good-Turing: absolute discounting
+    return d
+
+
+@dataclass
+class Model:
+    """The tables of a trained model, and what all of it is normalised by.
+
+    ngrams: rows (key, blob), one per part of the last words; weights: rows
+    (key, blob), one per part of the contexts' last words.
+    """
+
+    plan: Plan
+    discounts: list[np.ndarray]
+    total: int
+    types: int
+    starts: int
+    unknown: float
+    ngrams: DataFrame
+    weights: DataFrame
+    common: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id, held_out (true), n_tokens, n_known, train_tokens, base_score, score of any texts."""
+        spark, plan = docs.sparkSession, self.plan
+        scratch = Scratch(spark)
+        df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("held_out"), F.col("text").cast("string").alias("__text"))
+        asked = df.mapInArrow(_ngrams(plan, 0, plan.parts, True), COLUMNS)
+        told = self.ngrams.select(F.lit("ngrams").alias("kind"), "key", F.lit(0).cast("long").alias("chunk"), "blob")
+        met = scratch.cut(by_part(asked.unionByName(told), plan.parts).mapInArrow(_count(plan), COLUMNS), by="kind")
+        asks = met.filter("kind = 'ask'").select("key", "kind", "chunk", "blob")
+        weights = self.weights.select("key", F.lit("weights").alias("kind"), F.lit(0).cast("long").alias("chunk"), "blob")
+        backed = scratch.cut(by_part(asks.unionByName(weights), plan.parts).mapInArrow(_back_off(plan, self.discounts, self.total), COLUMNS), by="kind")
+        return self.finish(met, backed)
+
+    def finish(self, met: DataFrame, backed: DataFrame) -> DataFrame:
+        kind = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds)).select("key", "kind", "blob")
+        frequent = met.filter("kind = 'often'").select("chunk", "blob").mapInArrow(_often(self.common), COLUMNS)
+        every = kind(met, "docs", "tokens").unionByName(kind(backed, "more")).unionByName(frequent.select("key", "kind", "blob"))
+        return by_key(every, self.plan.parts).mapInArrow(_finish(self.plan.order, self.discounts, self.total, self.types, self.starts, self.unknown), RESULT)
+
+
+def _log(count: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(count, 1).astype(np.float64))
+
+
+def _finish(order: int, discounts: list[np.ndarray], total: int, types: int, starts: int, unknown: float):
+    kept = np.concatenate([np.zeros((1, CUT + 2)), np.log10(np.array(discounts))])
     log_total = math.log10(total) if total else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, ("key", "kind", "blob")):
+        for _, rows in grouped(batches, ("key", "kind", "blob")):
             ids, null, train, tokens = next(unpack(b) for kind, b in rows if kind == "docs")
             n = len(ids)
             base, score = np.zeros(n), np.zeros(n)
             known = np.zeros(n, np.int64)
-            marks = np.zeros((2 * CUT + 3, n))
             for kind, blob in rows:
-                if kind == "sums":
-                    doc, a, b, k, *m = unpack(blob)
-                    base[doc] += a
-                    score[doc] += b
-                    known[doc] += k.astype(np.int64)
-                    for i, x in enumerate(m):
-                        marks[i, doc] += x
+                if kind == "tokens":
+                    doc, level, met, word, following = unpack(blob)
+                    # d(c) c, at the level where the token was met; what the lowest level divides by; the next full context's count.
+                    value = np.where(level == 0, math.log10(unknown), kept[level, np.minimum(met, CUT + 1)] + _log(met))
+                    value = np.where(level == 1, value - log_total, value) - _log(following)
+                    score += np.bincount(doc, weights=value, minlength=n)
+                    base += np.bincount(doc, weights=np.log10(word + 1.0), minlength=n)
+                    known += np.bincount(doc[word > 0], minlength=n)
                 elif kind == "more":
-                    doc, a = unpack(blob)
-                    score[doc] += a
-            seen, lost = marks[: CUT + 1], marks[CUT + 1 :]
-            score += second @ seen[:CUT] + math.log10(LARGE) * seen[CUT]
-            if total:
-                score += first @ lost[1 : CUT + 1] + math.log10(LARGE) * lost[CUT + 1] + math.log10(unknown_mass) * lost[0]
-                score -= log_total * lost[1:].sum(axis=0)
+                    doc, value = unpack(blob)
+                    score[doc] += value
+            if order > 1 and total:
                 score -= math.log10(starts)  # the start context of every text
-            else:
+            if not total:
                 score[:] = 0.0
             base -= tokens.astype(np.float64) * math.log10(total + types + 1)
             yield pa.RecordBatch.from_arrays(
@@ -410,44 +615,54 @@ def _finish(d1: np.ndarray, d2: np.ndarray, total: int, types: int, starts: int,
     return run
 
 
-def score(spark: SparkSession, docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder: int = 2) -> tuple[Model, DataFrame]:
+    """The model of the rows whose crc32(id) mod `modulus` is not `remainder`, and the scores of all rows."""
     scratch = Scratch(spark)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("__text"))
     size, starts = df.agg(F.sum(F.octet_length("__text")), F.count_if(~F.col("held_out"))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / 6 / PART_TOKENS))
-    columns = "kind string, key bigint, chunk bigint, blob binary"
 
-    counted = scratch.cut(_sorted_by_key(df.mapInArrow(_word_counts(parts), "key bigint, chunk bigint, blob binary"), parts).mapInArrow(_merge_words, "word bigint, n bigint"))
+    counted = scratch.cut(by_part(df.mapInArrow(_word_counts(parts), "key bigint, chunk bigint, blob binary"), parts).mapInArrow(_merge_words, "word bigint, n bigint"))
     scratch.sweep()
     stats = counted.agg(F.sum("n"), F.count("n"), *(F.count_if(F.col("n") == r) for r in range(1, CUT + 2)), F.sum(F.when(F.col("n") > CUT, F.col("n")))).first()
     total, types, large = stats[0] or 0, stats[1], stats[-1] or 0
-    d1 = discounts(list(stats[2:-1]))
-    unknown = (sum(stats[1 + r] * r * (1 - d1[r]) for r in range(1, CUT + 1)) + large * (1 - LARGE)) / total if total else 1.0
-    # At most 2 * parts words can be this frequent.
-    often = counted.filter(F.col("n") >= max(1, total // (2 * parts))).collect()
-    hot = np.array([r["word"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    hot, hot_counts = hot[order], np.array([r["n"] for r in often], np.int64)[order]
+    discounts = [discounts_of(list(stats[2:-1]))]
+    unknown = (sum(stats[1 + r] * r * (1 - discounts[0][r]) for r in range(1, CUT + 1)) + large * (1 - LARGE)) / total if total else 1.0
+    often = counted.filter(F.col("n") >= max(1, total // (2 * parts))).orderBy(F.col("n").desc(), "word").limit(HOT_MOST).collect()
+    hot = {int(np.int64(r["word"]).astype(np.uint64)): r["n"] for r in often}
+    if starts >= max(1, total // (2 * parts)):
+        hot[int(START)] = starts
+    names = sorted(hot)
+    plan = Plan(order, parts, np.array(names, np.uint64), np.array([hot[h] for h in names], np.int64))
     scratch.drop(counted)
-    del counted
 
-    bigrams = scratch.cut(_sorted_by_key(df.mapInArrow(_bigrams(parts, hot), "key bigint, chunk bigint, blob binary"), parts).mapInArrow(_count_bigrams(parts, hot, hot_counts), columns), by="kind")
+    # Long n-grams take more bytes, so they go in waves of parts, of which only one is under way.
+    waves, tables = max(1, order - 1), []
+    for w in range(waves):
+        first, last = parts * w // waves, parts * (w + 1) // waves
+        if last > first:
+            sent = df.mapInArrow(_ngrams(plan, first, last, not tables), COLUMNS)
+            tables.append(scratch.cut(by_part(sent, last - first, first).mapInArrow(_count(plan), COLUMNS), by="kind"))
+            scratch.sweep()
+    met = tables[0]
+    for t in tables[1:]:
+        met = met.unionByName(t)
+    small = [unpack(r["blob"]) for r in met.filter("kind = 'stats'").select("blob").toLocalIterator()]
+    for k in range(1, order):
+        discounts.append(discounts_of(np.sum([s[k - 1] for s in small], axis=0).tolist() if small else [0] * (CUT + 1)))
+    ngrams = met.filter("kind = 'ngrams'").select("key", "blob")
+    summed = ngrams.mapInArrow(_contexts(plan), COLUMNS).select("key", "kind", "chunk", "blob")
+    asks = met.filter("kind = 'ask'").select("key", "kind", "chunk", "blob")
+    backed = scratch.cut(by_part(summed.unionByName(asks), parts).mapInArrow(_back_off(plan, discounts, total), COLUMNS), by="kind")
     scratch.sweep()
-    small = [unpack(r["blob"])[0] for r in bigrams.filter("kind = 'stats'").select("blob").toLocalIterator()]
-    d2 = discounts(np.sum(small, axis=0).tolist() if small else [0] * (CUT + 1))
-
-    kept = bigrams.filter("kind in ('context', 'unseen')").select("key", "kind", "blob")
-    backed = scratch.cut(_sorted_by_key(kept, parts).mapInArrow(_back_off(d1, d2, total, hot), columns), by="kind")
-    alphas = [unpack(r["blob"]) for r in backed.filter("kind = 'alpha'").select("blob").toLocalIterator()]
-    context, value = (np.concatenate([a[i] for a in alphas]) if alphas else np.zeros(0) for i in (0, 1))
-    order = np.argsort(context)
-    context, value = context[order].astype(np.uint64), value[order]
-
-    frequent = bigrams.filter("kind = 'often'").select("chunk", "blob").mapInArrow(_often(context, value), columns)
-    parts_of = [bigrams.filter("kind in ('docs', 'sums')"), backed.filter("kind = 'more'"), frequent]
-    every = parts_of[0].select("key", "kind", "blob")
-    for x in parts_of[1:]:
-        every = every.unionByName(x.select("key", "kind", "blob"))
-    out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _sorted_by_key(every, parts).mapInArrow(_finish(d1, d2, total, types, starts, unknown), out)
+    shared = [unpack(r["blob"]) for r in backed.filter("kind = 'all'").select("blob").toLocalIterator()]
+    common = [np.concatenate([s[i] for s in shared]) if shared else np.zeros(0) for i in range(3)]
+    at = np.argsort(common[0])
+    common = (common[0][at].astype(np.uint64), common[1][at], common[2][at])
+    model = Model(plan, discounts, total, types, starts, unknown, ngrams, backed.filter("kind = 'weights'").select("key", "blob"), common)
+    return model, model.finish(met, backed)
+
+
+def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, modulus: int = 7, remainder: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return train(spark, docs, order, modulus, remainder)[1]
