@@ -27,65 +27,103 @@ def test_packing():
 # Katz
 
 
-def katz_by_hand(texts, ids):
-    tokens = [[*spaced(t), None] for t in texts]
-    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, t in zip(ids, tokens, strict=True):
-        if i is None or crc(i, 7) != 2:
-            h = ("start",)
-            for w in t:
-                c1[w] += 1
-                c2[h, w] += 1
-                ch[h] += 1
-                h = w
-    n, v = sum(c1.values()), len(c1)
-    sizes = lambda c: [collections.Counter(c.values())[r] for r in range(1, katz.CUT + 2)]
-    d1, d2 = katz.discounts(sizes(c1)), katz.discounts(sizes(c2))
-    kept = lambda d, c: d[min(c, katz.CUT + 1)] * c
-    unknown = 1 - sum(kept(d1, c) for c in c1.values()) / n if n else 1.0
-    p1 = lambda w: kept(d1, c1[w]) / n if w in c1 else unknown
-    left, mass = collections.Counter(), collections.Counter()
-    for (h, w), c in c2.items():
-        left[h] += c - kept(d2, c)
-        mass[h] += p1(w)
-    out = []
-    for t in tokens:
-        h, score, base, known = ("start",), 0.0, 0.0, 0
-        for w in t:
-            if (h, w) in c2:
-                score += math.log10(kept(d2, c2[h, w]) / ch[h])
-            else:
-                score += math.log10((left[h] / ch[h] / (1 - mass[h]) if ch[h] else 1.0) * p1(w))
-            base += math.log10((c1[w] + 1) / (n + v + 1))
-            known += w in c1
-            h = w
-        out.append((len(t), known, n, base, score))
-    return out, (c1, c2, ch, p1, left, mass, kept, d2, unknown)
-
-
-def check_katz(spark, texts, ids):
-    want, model = katz_by_hand(texts, ids)
-    got = katz.score(spark, documents(spark, texts, ids)).collect()
-    assert len(got) == len(texts)
-    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6), r["held_out"]) for r in got))
-    hand = sorted(((i is None, i or 0, a, b, c, round(d, 6), round(e, 6), i is not None and crc(i, 7) == 2) for i, (a, b, c, d, e) in zip(ids, want, strict=True)))
-    for a, b in zip(rows, hand, strict=True):
-        assert a[:5] == b[:5] and a[7] == b[7]
-        assert a[5:7] == pytest.approx(b[5:7], abs=2e-5)
-    return model
-
-
-def test_katz_against_brute_force(spark):
+class KatzByHand:
+    """The definition, straight: counts of all lengths, discounts, alphas by summing, recursion per token."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.c = [collections.Counter() for _ in range(order + 1)]  # by length
+        self.after = [collections.Counter() for _ in range(order + 1)]
+        self.seen = collections.defaultdict(set)
+        for t in texts:
+            w = ["<s>"] * (order - 1) + [*spaced(t), None]
+            for i in range(order - 1, len(w)):
+                for k in range(1, order + 1):
+                    gram = tuple(w[i - k + 1 : i + 1])
+                    self.c[k][gram] += 1
+                    self.after[k][gram[:-1]] += 1
+                    self.seen[gram[:-1]].add(gram[-1])
+        self.d = [None] + [katz.discounts_of([collections.Counter(c.values())[r] for r in range(1, katz.CUT + 2)]) for c in self.c[1:]]
+        self.n, self.v = sum(self.c[1].values()), len(self.c[1])
+        self.unknown = 1 - sum(self.kept(g) for g in self.c[1]) / self.n if self.n else 1.0
+        self.alphas = {}
+
+    def kept(self, gram):
+        count = self.c[len(gram)][gram]
+        return self.d[len(gram)][min(count, katz.CUT + 1)] * count
+
+    def p(self, w, context):
+        gram = (*context, w)
+        if not context:
+            return self.kept(gram) / self.n if gram in self.c[1] else self.unknown
+        if gram in self.c[len(gram)]:
+            return self.kept(gram) / self.after[len(gram)][context]
+        return self.alpha(context) * self.p(w, context[1:])
+
+    def alpha(self, context):
+        if context not in self.seen:
+            return 1.0
+        if context not in self.alphas:
+            left = 1 - sum(self.p(w, context) for w in self.seen[context])
+            self.alphas[context] = left / (1 - sum(self.p(w, context[1:]) for w in self.seen[context]))
+        return self.alphas[context]
+
+    def row(self, text):
+        """n_tokens, n_known, train_tokens, base_score, score."""
+        w = ["<s>"] * (self.order - 1) + [*spaced(text), None]
+        m = self.order - 1
+        score = sum(math.log10(self.p(w[i], tuple(w[i - m : i]))) for i in range(m, len(w)))
+        base = sum(math.log10((self.c[1][(x,)] + 1) / (self.n + self.v + 1)) for x in w[m:])
+        return len(w) - m, sum((x,) in self.c[1] for x in w[m:]), self.n, base, score
+
+
+def same_scores(rows, texts, ids, hand):
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows))
+    want = sorted((i is None, i or 0, *hand.row(t)) for i, t in zip(ids, texts, strict=True))
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-6)
+
+
+def check_katz(spark, texts, ids, order):
+    hand = KatzByHand([t for t, i in zip(texts, ids, strict=True) if i is None or crc(i, 7) != 2], order)
+    model, scores = katz.train(spark, documents(spark, texts, ids), order)
+    rows = scores.collect()
+    same_scores(rows, texts, ids, hand)
+    assert all(r["held_out"] == (r["doc_id"] is not None and crc(r["doc_id"], 7) == 2) for r in rows)
+    return model, hand
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, order):
     rng = random.Random(1)
-    vocabulary = ["the"] * 30 + [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(120)] + AWKWARD[:8]
+    vocabulary = ["the"] * 30 + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(120)]
+    texts += [texts[5], texts[5], texts[6] + " " + texts[7], *(t for t in AWKWARD if t is None or len(t) < 1000)]
     ids = [*range(len(texts) - 2), None, None]
-    c1, c2, ch, p1, left, mass, kept, d2, unknown = check_katz(spark, texts, ids)
-    for h in list(ch)[:20]:  # every distribution sums to one
-        seen = {w for (g, w) in c2 if g == h}
-        alpha = left[h] / ch[h] / (1 - mass[h])
-        total = sum(kept(d2, c2[h, w]) / ch[h] for w in seen) + alpha * (unknown + sum(p1(w) for w in c1 if w not in seen))
+    model, hand = check_katz(spark, texts, ids, order)
+    for context in list(hand.seen)[:: max(1, len(hand.seen) // 40)]:  # every distribution sums to one
+        total = sum(hand.p(w, context) for (w,) in hand.c[1]) + hand.p("never seen", context)
         assert total == pytest.approx(1)
+    # The stored tables score other texts, the same way.
+    others = ["the w1 the w2", "never seen words", "", None, texts[5], "w1 w1 w1 new w1 w1 the the the " * 3]
+    same_scores(model.score(documents(spark, others)).collect(), others, list(range(len(others))), hand)
+    assert model.ngrams.count() > 0 and (order == 1 or model.weights.count() > 0)
+
+
+def test_katz_does_not_depend_on_parts_or_hot_words(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the"] * 3 + ["of"] * 2 + [f"w{i}" for i in range(9)]) for _ in range(rng.randint(0, 60))) for _ in range(90)]
+    want, given = None, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, hot in ((1, 1 << 20), (8, 1 << 20), (8, 0), (8, 3), (40, 1 << 20)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            monkeypatch.setattr(katz, "HOT_MOST", hot)
+            got = sorted((r["doc_id"], round(r["score"], 8), round(r["base_score"], 8)) for r in katz.score(spark, documents(spark, texts)).collect())
+            want = want or got
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
 
 
 def test_katz_small_and_empty(spark):
@@ -93,7 +131,12 @@ def test_katz_small_and_empty(spark):
     held = next(i for i in range(100) if crc(i, 7) == 2)
     r = katz.score(spark, documents(spark, ["never trained"], [held])).first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (True, 3, 0, 0, 0.0, 0.0)
-    check_katz(spark, ["a a a a", "a a a a", "a"], [0, 0, 1])
+    check_katz(spark, ["a a a a", "a a a a", "a"], [0, 0, 1], 3)
+
+
+def test_katz_very_long_text(spark):
+    rows = katz.score(spark, documents(spark, AWKWARD)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(spaced(t)) + 1 for i, t in enumerate(AWKWARD)}
 
 
 # Top-k
