@@ -39,7 +39,9 @@ SEED = 42
 SHARD_ROWS = 4096
 HEAVY = 512
 #: A further block repeats a fingerprint radius + 1 times, so each level takes this many times larger groups.
-DEEPER = 16
+DEEPER = 64
+#: Pairs of a query and a tree's node that are looked at together (bounds worker memory).
+PAIRS = 1 << 20
 
 
 def fingerprints_of(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -156,6 +158,7 @@ def shard_links(values: np.ndarray, radius: int = RADIUS, at_once: int = 512) ->
     """Links that connect exactly what the pairs within the radius connect, at most three per value."""
     values = np.unique(values)
     tree = BKTree(values)
+    at_once = max(1, min(at_once, PAIRS // max(1, len(values))))
     labels = np.arange(len(values))
     for i in range(0, len(values), at_once):
         for q, node in tree.search(values[i : i + at_once], radius):
