@@ -1,24 +1,28 @@
 """Main-text extraction by nearest-URL page differencing.
 
 A page is cut into text lines, one per block. Markup that is never main text
-(scripts, forms, navigation, page headers and footers, sidebars, notices,
-adverts, reader comments, by element, role, class or id) goes at once. Where
-the page names its article, other text goes too, and the article's own
-paragraphs, headings and the like are held safe. All other lines must pass the
-differencing: pages of a host stand in URL order, each is paired with the
-neighbour whose URL shares the longer beginning, the lines of both are aligned
-by a longest common subsequence, and shared lines are deleted as template. A
-pair whose unprotected lines are all shared and that names no article is taken
-for a copy, and keeps them.
-
-Pages travel once, compressed, to the part of the URL order they belong to; the
-parts' bounds come from a bounded hash sample of the keys, so a host with a
-third of all pages spreads over many parts, and reruns agree. The first and last
-page of a part go to its neighbour parts too, so each page meets both URL
-neighbours on its host and the result does not depend on the number of parts.
+(scripts, forms, navigation, page headers and footers, sidebars; containers whose
+role, class or id names them as notices, adverts or reader comments) goes at
+once. Where the page names its article, other text goes too, and the article's
+own paragraphs, headings and the like are held safe. All other lines must pass
+the differencing: pages of a host stand in URL order, each is paired with the
+nearest page around it, by the beginning that their URLs share, the lines of
+both are aligned by a longest common subsequence, and shared lines are deleted
+as template. A page that shares nearly all of its text is a copy and tells
+nothing of the template, so the next nearest takes its place, among REACH pages
+on either side. Where every one of them is a copy, the one that shares least is
+taken, and where that shares all lines, nothing is deleted.
+
+Pages are parsed once and travel once, compressed, to the part of the URL order
+they belong to; the parts' bounds come from a bounded hash sample of the keys, so
+a host with a third of all pages spreads over many parts, and reruns agree. The
+REACH first and last pages of a part go to the neighbour parts too, so that each
+page meets the same pages and the result does not depend on the number of parts.
 
 Defined cases: null or empty html gives an empty text; null urls form one host;
-repeated rows come back once each; an unclosed element ends with its parent.
+pages and attribute values of any length are read whole; repeated rows come back
+once each; equal URLs stand by page_id, then by content; an unclosed element ends
+with its parent; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ from pyspark.sql import functions as F
 PART_BYTES = 16 << 20
 MAX_PARTS = 32768
 KEYS_PER_PART = 4
+#: Pages looked at on either side, and the share of a page's characters that only a copy shares.
+REACH = 4
+COPY = 0.8
 
 _TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)", re.S)
 _STOP = re.compile(r"[>\"']")
@@ -49,14 +56,18 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 SKIP = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset"}
 SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-#: Words in a class or id that mark text which is not the article's.
-SKIP_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay "
+#: Last (or only) part of a class or id of a container whose text is not the article's.
+SKIP_NAMES = set(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion "
-    "pagination pager skip copyright legal disclaimer".split()
+    "cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup login "
+    "share sharing social recommended recommendations comment comments commentlist replies respond disqus "
+    "pagination pager copyright disclaimer".split()
 )
+#: First parts that say so too, as in ad-slot or comment-list.
+SKIP_FIRST = set("ad ads advert advertisement nav navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies newsletter share sharing comment comments sponsored promo popup pagination".split())
+#: Elements that such names are looked for on: containers, not the blocks of a text.
+NAMED = set("div section ul ol dl table details figure span center iframe article".split())
 SAFE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dt", "dd", "td", "th", "figcaption", "caption"}
 CLOSES = {"p": SAFE | {"div", "ul", "ol", "dl", "table", "section", "article", "header", "footer", "nav", "aside", "form", "main", "hr", "figure", "address", "details"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -88,6 +99,11 @@ def _attributes(attrs: str) -> list[tuple[str, str]]:
     return [(m[1].lower(), (m[2] or "").strip("\"'").lower()) for m in _ATTR.finditer(attrs)] if attrs else []
 
 
+def _names_other(name: str) -> bool:
+    parts = _NAME.findall(name)
+    return bool(parts) and (parts[-1] in SKIP_NAMES or parts[0] in SKIP_FIRST)
+
+
 def _skips(tag: str, attrs: list[tuple[str, str]], in_article: bool) -> bool:
     if tag in SKIP:
         return not (tag == "header" and in_article)
@@ -100,13 +116,13 @@ def _skips(tag: str, attrs: list[tuple[str, str]], in_article: bool) -> bool:
         elif name == "role":
             if value in SKIP_ROLES:
                 return True
-        elif name in ("class", "id") and tag not in ("html", "body", "main") and not SKIP_WORDS.isdisjoint(_NAME.findall(value)):
+        elif name in ("class", "id") and tag in NAMED and any(_names_other(x) for x in value.split()):
             return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
-    """(safe, line) of each block in page order, and whether the page names its article."""
+def blocks_of(page: str) -> list[tuple[str, str]]:
+    """(mark, line) of each block in page order: + safe, - to be differenced, . outside the named article."""
     found: list[tuple[bool, bool, str]] = []  # in article, safe, line
     stack: list[str] = []
     skip = article = -1  # depth of the element that began it
@@ -181,7 +197,16 @@ def lines_of(page: str) -> tuple[list[tuple[bool, str]], bool]:
             safe_at = depth
     flush()
     named = any(inside for inside, _, _ in found)
-    return [(safe, line) for inside, safe, line in found if inside or not named], named
+    return [("+" if safe else "-" if inside or not named else ".", line) for inside, safe, line in found]
+
+
+def lines_of(page: str) -> list[tuple[bool, str]]:
+    """(safe, line) of the blocks that may be main text."""
+    return own_lines(blocks_of(page))
+
+
+def own_lines(blocks: list[tuple[str, str]]) -> list[tuple[bool, str]]:
+    return [(mark == "+", line) for mark, line in blocks if mark != "."]
 
 
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
@@ -213,16 +238,26 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
     return [*((i, i) for i in range(head)), *reversed(middle), *((len(a) - t, len(b) - t) for t in range(tail, 0, -1))]
 
 
-def difference(own: list[tuple[bool, str]], named: bool, other: list[tuple[bool, str]] | None) -> list[str]:
-    """The lines left after deleting unprotected ones that the paired page shares."""
-    if not other:
-        return [line for _, line in own]
-    free = [i for i, (safe, _) in enumerate(own) if not safe]
-    pairs = lcs([own[i][1] for i in free], [line for _, line in other]) if free else []
-    if pairs and len(pairs) == len(own) and not named:
-        return [line for _, line in own]  # a copy, not a template
-    gone = {free[i] for i, _ in pairs}
-    return [line for i, (_, line) in enumerate(own) if i not in gone]
+def shared(own: list[tuple[bool, str]], other: list[tuple]) -> set[int]:
+    """The own lines that stand in a longest common subsequence with the other page's."""
+    return {i for i, _ in lcs([line for _, line in own], [line for _, line in other])}
+
+
+def difference(own: list[tuple[bool, str]], others: list[list[tuple]]) -> list[str]:
+    """The lines left after deleting unprotected ones that a page of other content shares; others: blocks of the nearest page first."""
+    free = {i for i, (safe, _) in enumerate(own) if not safe}
+    gone: set[int] = set()
+    if free:
+        size = sum(len(line) for _, line in own)
+        least = size
+        for other in others:
+            same = shared(own, other)
+            common = sum(len(own[i][1]) for i in same)
+            if common < least:
+                gone, least = same, common
+            if common < COPY * size:
+                break
+    return [line for i, (_, line) in enumerate(own) if i not in gone & free]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -249,41 +284,62 @@ def _placer(bounds: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [(*url_key(url), _order(page_id)) for page_id, url in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)]
-            host, path, order = ([k[i] for k in keys] for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([bisect_right(bounds, k) for k in keys], pa.int32()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(order, pa.int64())], names=["part", "host", "path", "order"]
-            )
+            yield _key_rows([(bisect_right(bounds, k), *k) for k in keys])
 
     return run
 
 
-def _visits(ends: list[tuple]) -> dict[tuple, list[int]]:
-    """Of (part, first key, last key) of the parts that hold pages: the other parts that a key's pages are shown to."""
-    out: dict[tuple, list[int]] = {}
+def _key_rows(rows: list[tuple]) -> pa.RecordBatch:
+    part, host, path, order = ([r[i] for r in rows] for i in range(4))
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(order, pa.int64())], names=["part", "host", "path", "order"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of keys by part and in order: the first and the last REACH of each part, as often as they occur."""
+    part, first, last = None, [], []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if row[0] != part and first:
+                yield _key_rows(first + last)
+                first, last = [], []
+            part = row[0]
+            if len(first) < REACH:
+                first.append(row)
+            else:
+                last = [*last, row][-REACH:]
+    if first:
+        yield _key_rows(first + last)
+
+
+def _visits(ends: list[tuple]) -> dict[tuple, set[int]]:
+    """Of (part, host, path, order) rows: the other parts that a key's pages are shown to."""
+    out: dict[tuple, set[int]] = {}
     ends = sorted(ends)
-    for (a, _, last), (b, first, _) in zip(ends, ends[1:], strict=False):
-        if last[0] == first[0]:
-            out.setdefault(last, []).append(b)
-            out.setdefault(first, []).append(a)
+    for i, (part, *key) in enumerate(ends):
+        for step in (-1, 1):
+            # The parts of the REACH rows before (or after) it that stand elsewhere.
+            near = ends[max(0, i - REACH) : i] if step < 0 else ends[i + 1 : i + 1 + REACH]
+            for other, host, *_ in near:
+                if other != part and host == key[0]:
+                    out.setdefault(tuple(key), set()).add(other)
     return out
 
 
-def _cutter(bounds: list[tuple], visits: dict[tuple, list[int]]):
+def _cutter(bounds: list[tuple], visits: dict[tuple, set[int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = {k: [] for k in ("page_id", "url", "part", "guest", "host", "path", "named", "lines")}
+                out = {k: [] for k in ("page_id", "url", "part", "guest", "host", "path", "lines")}
                 for page_id, url, page in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     host, path = url_key(url)
-                    lines, named = lines_of(page or "")
-                    packed = pack.compress("\n".join("-+"[safe] + line for safe, line in lines).encode("utf-8", "surrogatepass"))
+                    packed = pack.compress("\n".join(mark + line for mark, line in blocks_of(page or "")).encode("utf-8", "surrogatepass"))
                     key = (host, path, _order(page_id))
-                    for i, place in enumerate([bisect_right(bounds, key), *visits.get(key, ())]):
-                        for name, value in zip(out, (page_id, url, place, i > 0, host, path, named, packed), strict=True):
+                    for i, place in enumerate([bisect_right(bounds, key), *sorted(visits.get(key, ()))]):
+                        for name, value in zip(out, (page_id, url, place, i > 0, host, path, packed), strict=True):
                             out[name].append(value)
-                kinds = {"page_id": pa.int64(), "url": pa.string(), "part": pa.int32(), "guest": pa.bool_(), "host": pa.string(), "path": pa.string(), "named": pa.bool_(), "lines": pa.binary()}
+                kinds = {"page_id": pa.int64(), "url": pa.string(), "part": pa.int32(), "guest": pa.bool_(), "host": pa.string(), "path": pa.string(), "lines": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     return run
@@ -293,22 +349,30 @@ def _order(page_id) -> int:
     return -(1 << 63) if page_id is None else int(page_id)
 
 
+def _nearest(row: tuple, before: list[tuple], after: list[tuple]) -> list[tuple]:
+    """The pages around it on its host, the nearest first: by the shared beginning of the URLs, then by distance."""
+    around = [(d, x) for d, x in (*((-i, x) for i, x in enumerate(reversed(before), 1)), *enumerate(after, 1)) if x[2] == row[2]]
+    around.sort(key=lambda x: (-_shared_beginning(x[1][3], row[3]), abs(x[0]), x[0]))
+    return [x for _, x in around]
+
+
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part and in URL order; each looks at the one before and the one after. Guests are looked at only."""
+    """Rows come by part and in URL order; each looks at REACH before and after. Guests are looked at only."""
     unpack = zstandard.ZstdDecompressor()
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for page_id, url, host, path, named, packed, place, guest in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "host", "path", "named", "lines", "part", "guest")), strict=True):
+                for page_id, url, host, path, packed, place, guest in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "host", "path", "lines", "part", "guest")), strict=True):
                     body = unpack.decompress(packed).decode("utf-8", "surrogatepass")
-                    yield page_id, url, host, path, named, [(x[0] == "+", x[1:]) for x in body.split("\n")] if body else [], place, guest
+                    yield page_id, url, host, path, [(x[0], x[1:]) for x in body.split("\n")] if body else [], place, guest
 
-    def finish(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-        near = [x for x in (before, after) if x is not None and x[2] == row[2] and x[6] == row[6]]
-        other = max(near, key=lambda x: _shared_beginning(x[3], row[3])) if near else None
-        text = "\n".join(difference(row[5], row[4], other[5] if other else None))
+    def finish(held: list[tuple], at: int) -> tuple:
+        row = held[at]
+        before = [x for x in held[max(0, at - REACH) : at] if x[5] == row[5]]
+        after = [x for x in held[at + 1 : at + 1 + REACH] if x[5] == row[5]]
+        text = "\n".join(difference(own_lines(row[4]), [x[4] for x in _nearest(row, before, after)]))
         return row[0], row[1], text, len(text)
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
@@ -317,17 +381,24 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     out: list[tuple] = []
     size = 0
-    before = row = None
-    for after in rows():
-        if row is not None and not row[7]:
-            out.append(finish(before, row, after))
-            size += out[-1][3]
-            if size > 1 << 20:
-                yield pack(out)
-                out, size = [], 0
-        before, row = row, after
-    if row is not None and not row[7]:
-        out.append(finish(before, row, None))
+    held: list[tuple] = []  # the rows around; the one at `at` is next
+    at = 0
+    for row in rows():
+        held.append(row)
+        if len(held) - at > REACH:
+            if not held[at][6]:
+                out.append(finish(held, at))
+                size += out[-1][3]
+                if size > 1 << 20:
+                    yield pack(out)
+                    out, size = [], 0
+            at += 1
+            if at > REACH:
+                held.pop(0)
+                at -= 1
+    for i in range(at, len(held)):
+        if not held[i][6]:
+            out.append(finish(held, i))
     if out:
         yield pack(out)
 
@@ -342,10 +413,9 @@ def extract(spark: SparkSession, pages: DataFrame, part_bytes: int = PART_BYTES)
     sample = sorted((*url_key(r["url"]), _order(r["page_id"])) for r in keys)
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     # Which pages stand at the ends of the parts shows from the URLs alone.
-    k = F.struct("host", "path", "order")
-    placed = df.select("page_id", "url").mapInArrow(_placer(bounds), "part int, host string, path string, order bigint")
-    ends = placed.groupBy("part").agg(F.min(k).alias("first"), F.max(k).alias("last")).collect()
-    visits = _visits([(r["part"], tuple(r["first"]), tuple(r["last"])) for r in ends])
-    cut = df.mapInArrow(_cutter(bounds, visits), "page_id bigint, url string, part int, guest boolean, host string, path string, named boolean, lines binary")
-    placed = cut.repartitionByRange(parts, "part")
-    return placed.sortWithinPartitions("part", "host", "path", "page_id", "url", "lines").mapInArrow(_pair, "page_id bigint, url string, text string, n_chars bigint")
+    met = lambda rows: rows.repartitionById(parts, F.col("part"))
+    placed = met(df.select("page_id", "url").mapInArrow(_placer(bounds), "part int, host string, path string, order bigint"))
+    ends = placed.sortWithinPartitions("part", "host", "path", "order").mapInArrow(_ends, "part int, host string, path string, order bigint").collect()
+    visits = _visits([tuple(r) for r in ends])
+    cut = met(df.mapInArrow(_cutter(bounds, visits), "page_id bigint, url string, part int, guest boolean, host string, path string, lines binary"))
+    return cut.sortWithinPartitions("part", "host", "path", "page_id", "url", "lines").mapInArrow(_pair, "page_id bigint, url string, text string, n_chars bigint")
