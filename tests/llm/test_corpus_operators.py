@@ -284,14 +284,13 @@ text&nbsp;here<br>next<p>Second &lt;b&gt; &eacute;<div class="ad banner">Buy</di
 
 
 def test_page_structure():
-    lines, named = htmltext.lines_of(PAGE.format("End"))
-    assert named
+    lines = htmltext.lines_of(PAGE.format("End"))
     assert [x for _, x in lines] == ["Head & line", "First bold text here next", "Second <b> é", "one", "two", "End"]
 
 
 @pytest.mark.parametrize("page", ["", "plain", "<p>a<p>b", "<div><p>a</div>b</p>c", "<nav>unclosed <p>a", "<script>x", "<!-- x", "a < b > c &am &#x41;", "<article></article>", "<p>" * 3000])
 def test_broken_pages(page):
-    lines, _ = htmltext.lines_of(page)
+    lines = htmltext.lines_of(page)
     assert all(x == " ".join(x.split()) and x for _, x in lines)
 
 
@@ -299,7 +298,7 @@ def test_broken_pages(page):
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_long_attribute_values(n, quote):
     value = quote + "x" * n + "> <p class=ad hidden>LEAK</p> y" + quote
-    assert htmltext.lines_of(f"<div data-x={value}>body</div><div srcdoc={value} class=ad>no</div><p data-y={value} role=note>end</p>") == ([(False, "body"), (False, "end")], False)
+    assert htmltext.lines_of(f"<div data-x={value}>body</div><div srcdoc={value} class=ad>no</div><p data-y={value} role=note>end</p>") == [(False, "body"), (False, "end")]
 
 
 def test_unclosed_quotes_take_linear_time():
@@ -338,20 +337,73 @@ def test_differencing_deletes_shared_lines(spark):
     assert htmltext.extract(spark, pages.limit(0)).collect() == []
 
 
-def test_differencing_does_not_depend_on_the_parts(spark):
-    page = "<div>Menu {0}</div><div>text {1}</div><div>Section {2}</div>"
-    rows = [(i, f"http://h{i % 3}.example/{i % 7}/é{i}", page.format(i % 3, i, i % 7)) for i in range(150)]
+def pages_by_hand(rows):
+    """The definition on a list: URL order, the nearest page that is no copy, shared lines out."""
+    parsed = sorted((*htmltext.url_key(url), -(1 << 63) if i is None else i, url or "", i, htmltext.blocks_of(page or "")) for i, url, page in rows)
+    out = []
+    for at, (host, path, _, url, i, blocks) in enumerate(parsed):
+        own = htmltext.own_lines(blocks)
+        near = [(k, x) for k, x in enumerate(parsed) if k != at and abs(k - at) <= htmltext.REACH and x[0] == host]
+
+        def alike(x, path=path):
+            n = 0
+            while n < min(len(x), len(path)) and x[n] == path[n]:
+                n += 1
+            return n
+
+        near.sort(key=lambda x: (-alike(x[1][1]), abs(x[0] - at), x[0] - at))
+        found = []
+        for _, x in near:
+            same = {a for a, _ in htmltext.lcs([t for _, t in own], [t for _, t in x[5]])}
+            found.append((sum(len(own[a][1]) for a in same), same))
+        size = sum(len(t) for _, t in own)
+        chosen = next((f for f in found if f[0] < htmltext.COPY * size), min(found, key=lambda f: f[0], default=(size, set())))
+        gone = chosen[1] if chosen[0] < size else set()
+        out.append((i, "\n".join(t for a, (safe, t) in enumerate(own) if safe or a not in gone)))
+    return out
+
+
+def test_pages_against_brute_force_at_any_number_of_parts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    rows = []
+    for i in range(160):
+        host, section = f"h{i % 3}.example", i % 7
+        story = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(rng.randint(1, 4))]
+        if i % 5 == 1:  # a copy of the page before it in the section, but for a counter
+            story = [*stories[-1], f"seen {i} times"]
+        stories = [*stories, story] if i else [story]
+        lines = [f"Menu of {host}", f"Section {section}", *story, "All rights reserved", f"Terms of {host}"]
+        body = "".join(f"<div>{x}</div>" for x in lines)
+        if i % 11 == 0:
+            body = f"<div>{lines[0]}</div><article><div>{lines[1]}</div>" + "".join(f"<p>{x}</p>" for x in story) + "</article>"
+        rows.append((i, f"http://{host}/{section}/{'é' * (i % 2)}{i // 20 % 4}/{i}", body))
+    rows += [(500 + i, f"http://copies.example/{i}", "<div>Menu</div><div>the same story on every page</div>") for i in range(12)] + [(600, None, "<p>x</p>"), (None, None, None), (700, "http://h0.example/0/", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = {}
+    want = sorted(pages_by_hand(rows), key=repr)
+    assert sum("Menu of" in t for _, t in want) < 5
     given = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for parts in (1, 8, 60, 200):
+        for parts in (1, 4, 60, 200):
             spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            found[parts] = sorted(tuple(r) for r in htmltext.extract(spark, pages).collect())
+            assert sorted(((r["page_id"], r["text"]) for r in htmltext.extract(spark, pages).collect()), key=repr) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", given)
-    assert len(found[1]) == len(rows) and not any("Menu" in r[2] for r in found[1])
-    assert found[8] == found[1] and found[60] == found[1] and found[200] == found[1]
+    plan = htmltext.extract(spark, pages)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # a sampling pass would parse every page again
+
+
+def test_a_near_copy_beside_a_page_does_not_take_its_story():
+    menu = [(False, "Home"), (False, "News")]
+    story = [(False, "a long story about many things"), (False, "and its end, some time later")]
+    own, copy, other = [*menu, *story, (False, "Monday")], [*menu, *story, (False, "Tuesday")], [*menu, (False, "something else")]
+    assert htmltext.difference(own, [copy, other]) == [x for _, x in [*story, (False, "Monday")]]
+    assert htmltext.difference(own, [copy]) == ["Monday"] and htmltext.difference(own, [own]) == [x for _, x in own] and htmltext.difference(own, []) == [x for _, x in own]
+
+
+def test_names_of_containers_and_of_paragraphs():
+    page = '<article><p class="comment">one</p><p class="legal">two</p><p id="social-contract">three</p><p>four</p><div class="main-comment-text">five</div><div class="story legal">six</div><div class="comment-list"><p>no</p></div><div id="ad_slot">no</div><div class="cookie-notice">no</div><section class="x sidebar">no</section></article>'
+    assert [x for _, x in htmltext.lines_of(page)] == ["one", "two", "three", "four", "five", "six"]
 
 
 def test_article_paragraphs_are_safe(spark, sf):
