@@ -443,6 +443,66 @@ def test_passages_find_planted_repeats(spark):
     assert passages.find(spark, documents(spark, [texts[0], texts[0]], [1, 1])).collect() == []
 
 
+def shared_runs(a, b, least):
+    """(start in a, start in b, length) of the maximal runs of equal words, by dynamic programming."""
+    out, before = [], [0] * (len(b) + 1)
+    for i in range(len(a)):
+        now = [0] * (len(b) + 1)
+        for j in range(len(b)):
+            if a[i] == b[j]:
+                now[j + 1] = n = before[j] + 1
+                if n >= least and (i + 1 == len(a) or j + 1 == len(b) or a[i + 1] != b[j + 1]):
+                    out.append((i + 1 - n, j + 1 - n, n))
+        before = now
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    """Every verbatim run of LONG + LONG_WINDOW - 1 words that two documents share is reported of both, whoever holds parts of it; and nothing else is."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"{rng.choice('bcdfgh')}{rng.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):  # a passage of two documents, whose halves (48 words) others hold
+        whole = fresh(96)
+        texts += [fresh(20) + whole + fresh(20), fresh(9) + whole, fresh(5) + whole[:48] + fresh(30), whole[48:] + fresh(60), fresh(30) + whole[20:60]]
+    long = fresh(400)
+    texts += [long, long[:200] + fresh(3), fresh(80) + long[120:330], long[300:], fresh(40)]
+    rng.shuffle(texts)
+    need = passages.LONG + passages.LONG_WINDOW - 1
+    found = {}
+    rows = passages.find(spark, documents(spark, [" ".join(t) for t in texts])).collect()
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + 5] == texts[r["partner_id"]][r["partner_start"] : r["partner_start"] + 5]
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        found.setdefault(r["partner_id"], []).append((r["partner_start"], r["partner_end"]))
+    sharing = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            for a, b, n in shared_runs(texts[i], texts[j], 50):
+                sharing |= {i, j}
+                if n >= need:
+                    for d, s in ((i, a), (j, b)):
+                        assert sum(max(0, min(e, s + n) - max(x, s)) for x, e in found.get(d, ())) >= min(n, 50), (d, s, n)
+    assert set(found) <= sharing
+
+
+def test_passages_do_not_depend_on_chunks_or_parts(spark):
+    rng = random.Random(22)
+    fresh = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    shared = [fresh(rng.randint(30, 150)) for _ in range(12)]
+    texts = [" ".join(x for _ in range(3) for x in (rng.choice(shared) if rng.random() < 0.6 else fresh(60))) for _ in range(60)]
+    docs = documents(spark, texts)
+    given, want = spark.conf.get("spark.sql.shuffle.partitions"), None
+    try:
+        for parts, splits, size in ((8, 1, 1 << 24), (8, 7, 1 << 24), (3, 2, 2000), (30, 1, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = sorted(map(tuple, passages.find(spark, docs.repartition(splits), chunk_bytes=size).collect()))
+            want = want or got
+            assert got == want and len(got) > 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+
+
 def test_chains_against_quadratic_search():
     rng = random.Random(6)
     for _ in range(60):
