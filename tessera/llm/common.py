@@ -55,7 +55,13 @@ class Scratch:
         """Writes df (in folders by the column `by`) and returns a reader of the written rows."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        # The write's shuffle files go with its end: the table is whole, and no later plan uses them.
+        conf, given = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        finally:
+            conf.set(_CLEANUP, given)
         if self.n == 1:
             root = self._path(self.root)
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
@@ -66,12 +72,12 @@ class Scratch:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Deletes tables made by cut() that no later plan reads."""
+    def drop(self, *tables: DataFrame | None, kind: str | None = None) -> None:
+        """Deletes tables made by cut() that no later plan reads, or their folders of one kind."""
         for table in tables:
             path = getattr(table, "_tessera_path", None)
             if path:
-                where = self._path(path)
+                where = self._path(f"{path}/kind={kind}" if kind else path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def sweep(self) -> None:
@@ -90,6 +96,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where there are fewer input splits than those, which bounds what is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def held_out(modulus: int, remainder: int, column: str = "doc_id"):
     """crc32(id as text) mod modulus = remainder; false where the id is null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

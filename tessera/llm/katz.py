@@ -43,6 +43,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -372,8 +373,8 @@ def _requests(plan: Plan, counts: Counts, level: np.ndarray, row: np.ndarray, do
     return out
 
 
-def _contexts(plan: Plan):
-    """The n-gram table's rows summed by context: words, and of each class of counts (own and shorter) how many and their sums."""
+def _contexts(plan: Plan, first: int, last: int):
+    """The n-gram table's rows summed by context, to parts first to last: words, and of each class of counts (own and shorter) how many and their sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,11 +384,13 @@ def _contexts(plan: Plan):
                 for k in range(1, plan.order):
                     context = columns[k][1:]
                     n2, n1 = counts[k], shorter[k]
-                    if not len(n2):
+                    # The part of a context's last word, or of its last two where that is hot.
+                    where = plan.place(word, context[0], context[1] if k > 1 else None)
+                    mine = np.flatnonzero((where >= first) & (where < last))
+                    if not len(mine):
                         continue
+                    context, n2, n1, where = [c[mine] for c in context], n2[mine], n1[mine], where[mine]
                     cls = np.minimum(n2, CUT + 1) * (CUT + 2) + np.minimum(n1, CUT + 1)
-                    # A context's rows, by class; the part of its last word, or of its last two where that is hot.
-                    where = plan.place(word, context[0], context[1] if k > 1 else None)
                     name = _one_key([*context, cls], max(len(word), (CUT + 2) ** 2))
                     order = np.lexsort((name, where))
                     new = np.flatnonzero(np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (where[order][1:] != where[order][:-1])]))
@@ -623,7 +626,6 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, modulus: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / 6 / PART_TOKENS))
 
     counted = scratch.cut(by_part(df.mapInArrow(_word_counts(parts), "key bigint, chunk bigint, blob binary"), parts).mapInArrow(_merge_words, "word bigint, n bigint"))
-    scratch.sweep()
     stats = counted.agg(F.sum("n"), F.count("n"), *(F.count_if(F.col("n") == r) for r in range(1, CUT + 2)), F.sum(F.when(F.col("n") > CUT, F.col("n")))).first()
     total, types, large = stats[0] or 0, stats[1], stats[-1] or 0
     discounts = [discounts_of(list(stats[2:-1]))]
@@ -637,24 +639,21 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, modulus: int
     scratch.drop(counted)
 
     # Long n-grams take more bytes, so they go in waves of parts, of which only one is under way.
-    waves, tables = max(1, order - 1), []
-    for w in range(waves):
-        first, last = parts * w // waves, parts * (w + 1) // waves
-        if last > first:
-            sent = df.mapInArrow(_ngrams(plan, first, last, not tables), COLUMNS)
-            tables.append(scratch.cut(by_part(sent, last - first, first).mapInArrow(_count(plan), COLUMNS), by="kind"))
-            scratch.sweep()
-    met = tables[0]
-    for t in tables[1:]:
-        met = met.unionByName(t)
+    waves = [(f, t) for f, t in ((parts * w // order, parts * (w + 1) // order) for w in range(order)) if t > f]
+    tables = [scratch.cut(by_part(df.mapInArrow(_ngrams(plan, f, t, i == 0), COLUMNS), t - f, f).mapInArrow(_count(plan), COLUMNS), by="kind") for i, (f, t) in enumerate(waves)]
+    met = reduce(DataFrame.unionByName, tables)
     small = [unpack(r["blob"]) for r in met.filter("kind = 'stats'").select("blob").toLocalIterator()]
     for k in range(1, order):
         discounts.append(discounts_of(np.sum([s[k - 1] for s in small], axis=0).tolist() if small else [0] * (CUT + 1)))
     ngrams = met.filter("kind = 'ngrams'").select("key", "blob")
-    summed = ngrams.mapInArrow(_contexts(plan), COLUMNS).select("key", "kind", "chunk", "blob")
     asks = met.filter("kind = 'ask'").select("key", "kind", "chunk", "blob")
-    backed = scratch.cut(by_part(summed.unionByName(asks), parts).mapInArrow(_back_off(plan, discounts, total), COLUMNS), by="kind")
-    scratch.sweep()
+    answers = []
+    for f, t in waves:
+        summed = ngrams.mapInArrow(_contexts(plan, f, t), COLUMNS).select("key", "kind", "chunk", "blob")
+        met_here = by_part(summed.unionByName(asks.filter(F.col("key").between(f, t - 1))), t - f, f)
+        answers.append(scratch.cut(met_here.mapInArrow(_back_off(plan, discounts, total), COLUMNS), by="kind"))
+    backed = reduce(DataFrame.unionByName, answers)
+    scratch.drop(*tables, kind="ask")
     shared = [unpack(r["blob"]) for r in backed.filter("kind = 'all'").select("blob").toLocalIterator()]
     common = [np.concatenate([s[i] for s in shared]) if shared else np.zeros(0) for i in range(3)]
     at = np.argsort(common[0])

@@ -22,20 +22,29 @@ _TYPES = {"kind": pa.string(), "key": pa.int64(), "chunk": pa.int64(), "blob": p
 
 #: u6: eight-byte values of which six bytes are stored.
 _KINDS = ("u1", "u2", "u4", "u6", "u8", "i4", "i8", "f8")
+#: Added to the kind of arrays that are stored as differences.
+_STEPS = 64
+
+
+def _smallest(top: int) -> str:
+    return "u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned integers shrink to the smallest width that holds them."""
+    """Unsigned integers shrink to the smallest width that holds them, sorted ones to their differences."""
     head, body = [struct.pack("<B", len(arrays))], []
     for a in arrays:
+        steps = 0
         if a.dtype.kind == "u" and len(a):
+            if len(a) > 1 and (a[1:] >= a[:-1]).all():
+                steps, a = _STEPS, np.diff(a, prepend=a.dtype.type(0))
             top = int(a.max())
-            a = a.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
+            a = a.astype(_smallest(top))
         kind = a.dtype.str[1:]
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
         if kind == "u8" and len(a) and top < 1 << 48:
             kind, planes = "u6", planes[:6]
-        head.append(struct.pack("<BQ", _KINDS.index(kind), len(a)))
+        head.append(struct.pack("<BQ", steps + _KINDS.index(kind), len(a)))
         body.append(planes.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
 
@@ -47,11 +56,15 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out = []
     for i in range(n):
         kind, size = struct.unpack_from("<BQ", raw, 1 + 9 * i)
-        name = _KINDS[kind]
+        name = _KINDS[kind % _STEPS]
         dtype, stored = np.dtype("u8" if name == "u6" else name), int(name[1])
         planes = np.zeros((size, dtype.itemsize), np.uint8)
         planes[:, :stored] = np.frombuffer(raw, np.uint8, size * stored, at).reshape(stored, size).T
-        out.append(planes.reshape(-1).view(dtype) if size else np.zeros(0, dtype))
+        a = planes.reshape(-1).view(dtype) if size else np.zeros(0, dtype)
+        if kind >= _STEPS:
+            a = np.cumsum(a, dtype=np.uint64)
+            a = a.astype(_smallest(int(a[-1])))
+        out.append(a)
         at += size * stored
     return out
 
