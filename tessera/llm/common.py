@@ -19,6 +19,7 @@ try:
 except (OSError, AttributeError):
     _malloc_trim = None
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text bytes handled at once by the vectorised code (bounds worker memory).
 BLOCK_BYTES = 1 << 20
 

@@ -8,48 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import curriculum, decontam, htmltext, katz, langid, passages, secrets, simhash, topk, toxicity
-from .common import table
+from .common import spread, table
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return langid.predict(docs, langid.fit(docs))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.scan(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(spark, table(spark, sf_dir, "documents"))
+    return katz.score(spark, spread(table(spark, sf_dir, "documents")))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topk.integers(table(spark, sf_dir, "embeddings"))
+    rows = topk.integers(spread(table(spark, sf_dir, "embeddings")))
     return topk.search(rows.filter("vec_id % 50 = 0"), rows)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components(spark, table(spark, sf_dir, "documents"))
+    found = simhash.components(spark, spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract(spark, table(spark, sf_dir, "pages"))
+    return htmltext.extract(spark, spread(table(spark, sf_dir, "pages")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.find(spark, table(spark, sf_dir, "documents"))
+    return passages.find(spark, spread(table(spark, sf_dir, "documents")))
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
