@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import time
 import unicodedata
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 
@@ -322,6 +324,30 @@ def test_toxicity_held_out_accuracy(spark, sf):
     assert found / max(1, sum(p for p, _ in held)) > 0.85
 
 
+def test_toxicity_against_plain_arithmetic(spark, sf):
+    """Scores of the query again, word by word: mean of the subwords' logits, mean over the text and over its worst window, the link."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    logits = {}
+
+    def word_logit(word):
+        if word not in logits:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            buckets = [b for _, bs in toxicity.subwords(raw, np.array([0]), np.array([len(raw)]), len(model.logits)) for b in bs.tolist()]
+            assert len(buckets) == 1 + sum(max(0, len(raw) + 3 - n) for n in toxicity.NGRAMS)
+            logits[word] = sum(model.logits[b] for b in buckets) / len(buckets)
+        return logits[word]
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    a, b, c = model.link
+    for r in docs.collect():
+        words = alnum(r["text"])
+        z = [word_logit(w) for i, w in enumerate(words) if not i or words[i - 1] != w]
+        mean = sum(z) / len(z) if z else 0.0
+        worst = max((sum(z[i : i + toxicity.WINDOW]) / toxicity.WINDOW for i in range(len(z))), default=0.0)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(a * mean + b * worst + c))), abs=1e-9)
+
+
 def test_toxicity_awkward_rows(spark):
     texts = [*AWKWARD, *("you are a horrid fool and a horrid brute" if i % 2 else "we went to the market and bought bread" for i in range(60))]
     docs = documents(spark, texts)
