@@ -1,7 +1,13 @@
 """A training-data pipeline over the documents table: filter, dedup, clean, mix.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
-all return the columns of documents, the last with the training positions.
+all return the columns of documents, the last with the training positions too.
+
+Defined cases, the same for all stages: an empty table gives an empty one; null
+and empty texts are kept unless they are copies of each other; null ids, sources
+and other columns pass on; texts of any length are read whole; repeated rows are
+copies; extra columns, whatever their names, pass on (a column named like one of
+the mix gives way to it).
 """
 
 from __future__ import annotations
@@ -14,18 +20,21 @@ from tessera.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the whole documents table's labels."""
+    """Documents that the toxicity model rejects go; it learns from the labels of the stage's documents.
+
+    Without labels of both kinds nothing scores over the threshold but by the labels' own share.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays: the smallest id; word-less texts are one component."""
     return simhash.keep_one(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; an empty benchmark removes none."""
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
