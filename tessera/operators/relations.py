@@ -115,8 +115,11 @@ def join(left: DataFrame, right: DataFrame, terms: list[Term], algorithm: str, t
         return left.join(right.hint("shuffle_hash"), condition)
     if algorithm == "hash_left":
         return left.hint("shuffle_hash").join(right, condition)
-    if algorithm == "index_nested_loop" and estimated_bytes(left) <= BROADCAST_BYTES:
-        return F.broadcast(left).join(right, condition)
+    if algorithm == "index_nested_loop":
+        # The side without the index is the outer one, whose rows go to where the other's lie.
+        inner_right = any(x in indexed and x in sides[1] for t in equal for x in (t.left.name, t.right.name))
+        if estimated_bytes(left if inner_right else right) <= BROADCAST_BYTES:
+            return F.broadcast(left).join(right, condition) if inner_right else left.join(F.broadcast(right), condition)
     return left.join(right, condition)
 
 

@@ -142,6 +142,7 @@ FORCED: dict[str, tuple[str, str]] = {
     "join_hint_hash_right": ("hash", STATEMENTS["join_equi"]),
     "join_hint_hash_left": ("hash_left", STATEMENTS["join_residual"]),
     "join_hint_index": ("index_nested_loop", STATEMENTS["join_int_widen"]),
+    "join_hint_index_left": ("index_nested_loop", "SELECT c.id, n.name FROM customers c JOIN nations n ON c.id = n.region"),
 }
 
 #: Statements run in one session without files; the last one's rows are the result.

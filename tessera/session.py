@@ -17,7 +17,7 @@ from .operators.relations import JOIN_ALGORITHMS
 from .plans.binder import BoundSelect, bind
 from .plans.nodes import CreateIndex, CreateTable, Insert, Select, Statement, Transaction
 from .plans.parser import parse, parse_script
-from .sources.store import COMPACT_FILES, Store, Stored
+from .sources.store import COMPACT_FILES, ROW_GROUP, Store, Stored
 from .sources.tables import MAX_RECORD, Table, check_limits, external
 
 
@@ -313,7 +313,10 @@ class Session:
         stored = self.own[s.table].stored
         if s.column in stored.indexed:
             raise ExecError(f"column {s.table}.{s.column} already has an index")
-        self.own[s.table].stored = _changed(stored, indexed=[*stored.indexed, s.column])
+        stored = _changed(stored, indexed=[*stored.indexed, s.column])
+        if self.store is not None and not self.in_transaction and stored.rows > ROW_GROUP:
+            stored = self._clustered(s.table, stored, s.column)
+        self.own[s.table].stored = stored
 
     def _insert(self, s: Insert) -> None:
         columns = self.columns_of(s.table)
@@ -356,23 +359,33 @@ class Session:
                 if len(files) >= COMPACT_FILES:  # many small commits become one folder, in the executors
                     files = [self.store.rewrite(name, stored, stored.columns[0].name)]
                 files.append(self.store.write(name, stored, p.rows, stored.columns[0].name))
-                stored = _changed(stored, files=files, rows=stored.rows + len(p.rows), clustered={})
+                compacted = files[:1] if len(stored.files) >= COMPACT_FILES else []
+                stored = _changed(stored, files=files, rows=stored.rows + len(p.rows), clustered={} if compacted else stored.clustered)
+                if compacted and stored.rows > ROW_GROUP:  # the indexes' copies are made anew with the table
+                    whole = _changed(stored, files=compacted)
+                    stored = _changed(stored, clustered={c: [self.store.rewrite(name, whole, c), *compacted] for c in stored.indexed})
             after[name] = stored
         self.store.commit(after)
         self.own = {n: Pending(t, []) for n, t in after.items()}
         self.keys.clear()
 
     def cluster(self, name: str, column: str) -> None:
-        """Writes a copy of an own table clustered by an indexed column, whose row groups prune range scans."""
+        """Writes a copy of an own table clustered by an indexed column, whose row groups prune range scans.
+
+        Larger tables get one by CREATE INDEX and whenever their files are rewritten
+        as one; rows committed since are read beside it.
+        """
         if self.in_transaction or self.store is None:
             raise ExecError("a table can be clustered only in a stored database, outside a transaction")
         stored = self.own[name].stored
         if column not in stored.indexed:
             raise ExecError(f"column {name}.{column} has no index")
-        path = self.store.rewrite(name, stored, column)
-        self.own[name].stored = _changed(stored, clustered={**stored.clustered, column: path})
+        self.own[name].stored = self._clustered(name, stored, column)
         self._commit()
 
+    def _clustered(self, name: str, stored: Stored, column: str) -> Stored:
+        return _changed(stored, clustered={**stored.clustered, column: [self.store.rewrite(name, stored, column), *stored.files]})
+
     def _rollback(self) -> None:
         self.in_transaction = False
         if self.store is not None:

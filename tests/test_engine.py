@@ -380,3 +380,27 @@ def test_limits_beyond_32_bits(spark):
     s.register("t", spark.range(5).toDF("id"), key="id")
     assert len(s.query("SELECT id FROM t ORDER BY id LIMIT 5000000000").rows) == 5
     assert len(s.query("SELECT id FROM t LIMIT 9223372036854775807").rows) == 5
+
+
+def test_indexes_serve_reads_of_changed_tables(spark, tmp_path, monkeypatch):
+    from tessera import session
+    from tessera.sources import store
+
+    monkeypatch.setattr(session, "ROW_GROUP", 3)
+    monkeypatch.setattr(session, "COMPACT_FILES", 3)
+    with Session(spark, str(tmp_path / "db")) as s:
+        s.script("CREATE TABLE t (id INT64, v INT64); BEGIN; " + "; ".join(f"INSERT INTO t VALUES ({i}, {-i})" for i in range(6)) + "; COMMIT; CREATE INDEX ON t (v)")
+        for i in range(6, 14):
+            copy = s.own["t"].stored.clustered["v"][0]
+            files = s.sql("SELECT id FROM t WHERE v >= -3").inputFiles()
+            assert any(copy in f for f in files)
+            assert sorted(s.query("SELECT id FROM t WHERE v < -2").rows) == [(k,) for k in range(3, i)]
+            s.sql(f"INSERT INTO t VALUES ({i}, {-i})")
+        assert s.store.recovery.discarded == 0 and store.Store(spark, str(tmp_path / "db")).tables["t"].clustered["v"][0] == s.own["t"].stored.clustered["v"][0]
+
+
+def test_index_join_sends_the_side_without_the_index(spark, sf):
+    session = queries.shop(spark, sf, {"customers", "nations"})
+    session.join_algorithm = "index_nested_loop"
+    for sql, side in (("SELECT c.id FROM customers c JOIN nations n ON c.id = n.region", "BuildRight"), ("SELECT c.id FROM nations n JOIN customers c ON c.id = n.region", "BuildLeft")):
+        assert side in session.sql(sql)._jdf.queryExecution().sparkPlan().toString()
