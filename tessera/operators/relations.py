@@ -30,7 +30,7 @@ _COMPARE = {
 
 def scan(df: DataFrame, columns: list[Bound]) -> DataFrame:
     """The table's columns under names unique in the whole plan, so self-joins and equal names cannot clash."""
-    return df.select(*(F.col(f"`{c.column.name}`").alias(c.name) for c in columns))
+    return df.toDF(*(c.name for c in columns))
 
 
 def _as_integer(term: Term) -> SparkColumn | None:

@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import rules
 from .errors import ExecError
 from .functions.types import Kind, Literal
 from .plans.nodes import ColumnRef, Comparison, Select, Value
@@ -222,10 +223,15 @@ def _conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
             return spark.createDataFrame(df.toArrow(), df.schema)
 
 
+def _rule(steps: list[tuple[str, str]], spark: SparkSession, sf_dir: str) -> DataFrame:
+    with _database(spark) as path:
+        return rules.run(spark, path, steps)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable] = {name: partial(_statement, sql, "auto") for name, sql in STATEMENTS.items()}
     out |= {name: partial(_statement, sql, algorithm) for name, (algorithm, sql) in FORCED.items()}
-    return out | {name: partial(_script, statements) for name, statements in SCRIPTS.items()} | {"txn_conflict": _conflict}
+    return out | {name: partial(_script, statements) for name, statements in SCRIPTS.items()} | {"txn_conflict": _conflict} | {name: partial(_rule, steps) for name, steps in rules.RULES.items()}
 
 
 # The same statements for DuckDB.
@@ -309,4 +315,4 @@ def _view_columns(name: str) -> list[str]:
 
 def oracle_sql() -> dict[str, str]:
     out = {name: duck_sql(sql) for name, sql in STATEMENTS.items()}
-    return out | {name: duck_sql(sql) for name, (_, sql) in FORCED.items()} | SCRIPT_SQL
+    return out | {name: duck_sql(sql) for name, (_, sql) in FORCED.items()} | SCRIPT_SQL | {name: rules.oracle(steps) for name, steps in rules.RULES.items()}

@@ -23,6 +23,7 @@ from .sources.tables import MAX_RECORD, Table, check_limits, external
 
 #: Settings under which MIN, MAX and COUNT(*) of whole Parquet tables come from the files' footers.
 _FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+_FOOTER_SWITCH = ("spark.sql.parquet.aggregatePushdown", "false")
 #: Optimizer rules that place terms elsewhere than written.
 _PLACEMENT = ",".join(f"org.apache.spark.sql.catalyst.optimizer.{r}" for r in ("PushDownPredicates", "PushPredicateThroughNonJoin", "PushPredicateThroughJoin", "InferFiltersFromConstraints", "ReorderJoin"))
 
@@ -206,8 +207,8 @@ class Session:
 
     # SELECT.
 
-    def plan(self, statement: Select, watch=None) -> PlanStep:
-        """The statement lowered; watch(DataFrame) stands in for each step's rows, if given."""
+    def plan(self, statement: Select, watch=None, footers: bool = False) -> PlanStep:
+        """The statement lowered; watch(DataFrame) stands in for each step's rows, if given; footers: answered from them, if it asks for nothing else."""
         if self.join_algorithm not in JOIN_ALGORITHMS:
             raise ValueError(f"join_algorithm is one of {', '.join(JOIN_ALGORITHMS)}")
         bound = bind(statement, self.columns_of)
@@ -218,11 +219,19 @@ class Session:
                     wanted.setdefault(t.left.label, t.left.column.name)
         by_name = {ref.name: wanted.get(ref.label) for ref, _ in bound.tables}
         self.last_output = [(h, c.column.kind) for c, h in bound.output]
-        spark = self._spark(self._settings(bound))
+        settings = self._settings(bound)
+        if watch or not footers:
+            settings = {k: v for k, v in settings.items() if k not in _FOOTERS}
+        spark = self._spark(settings)
         return lower(statement, bound, lambda name: self._source(name, by_name[name], spark), self.join_algorithm, self.deterministic, watch)
 
     def _select(self, statement: Select) -> DataFrame:
-        self.last_plan, self.last_select = self.plan(statement), statement
+        self.last_plan, self.last_select = self.plan(statement, footers=True), statement
+        if self.last_plan.df.sparkSession.conf.get(*_FOOTER_SWITCH) == "true":
+            try:
+                self.last_plan.df.collect()  # one row, from footers alone; Spark fails where a file lacks the ends of a column
+            except Exception:
+                self.last_plan = self.plan(statement)
         return self.last_plan.df
 
     def _settings(self, bound: BoundSelect) -> dict[str, str]:
@@ -268,18 +277,31 @@ class Session:
     def scan_table(self, name: str, visit) -> None:
         """Calls visit(row) for every row, in key order, a partition at a time."""
         source = self._source(name)
-        df = source.df.orderBy(f"`{source.key}`") if source.key else source.df
+        df = source.df.orderBy(self._stored(source.df, name, source.key)) if source.key else source.df
         for row in df.toLocalIterator():
             visit(tuple(row))
 
     def index_bounds(self, name: str, column: str) -> tuple | None:
         """Smallest and largest value of a column, None if it has none; from file statistics where Spark pushes it down."""
-        low, high = self._source(name, spark=self._spark(_FOOTERS)).df.agg(F.min(f"`{column}`"), F.max(f"`{column}`")).first()
+        for spark in (self._spark(_FOOTERS), self.spark):
+            df = self._source(name, spark=spark).df
+            at = self._stored(df, name, column)
+            try:
+                low, high = df.agg(F.min(at), F.max(at)).first()
+                break
+            except Exception:  # a file whose footer lacks the ends of the column
+                if spark is self.spark:
+                    raise
         return None if low is None else (low, high)
 
     def count_index(self, name: str, column: str, low, high, most: int) -> int:
         """Rows with low <= column <= high, counted no further than `most`."""
-        return self._source(name).df.filter(F.col(f"`{column}`").between(low, high)).limit(most).count()
+        df = self._source(name).df
+        return df.filter(self._stored(df, name, column).between(low, high)).limit(most).count()
+
+    def _stored(self, df: DataFrame, name: str, column: str):
+        """A column of the table's rows, by its place."""
+        return F.col(f"`{df.columns[[c.name for c in self.columns_of(name)].index(column)]}`")
 
     def explain_last(self, estimates: bool = False, physical: bool = False) -> str:
         """The last SELECT's steps with the rows each produced, counted in one run of the plan."""

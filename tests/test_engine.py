@@ -340,6 +340,15 @@ def test_ends_of_columns_come_from_footers(spark, sf):
     assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
 
 
+def test_ends_of_columns_that_footers_lack(spark, tmp_path):
+    for rows in ([(1, None)], [(2, 7), (3, None)]):
+        spark.createDataFrame(rows, "id long, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "x"))
+    s = Session(spark)
+    s.register("t", str(tmp_path / "x"), key="id")
+    assert s.query("SELECT MIN(v), MAX(v), MIN(id), COUNT(*) FROM t").rows == [(7, 7, 1, 3)]
+    assert s.index_bounds("t", "v") == (7, 7)
+
+
 def test_switches_hold_for_their_own_plans(spark, sf):
     session = queries.shop(spark, sf, {"customers"})
     session.access_path = "scan"
