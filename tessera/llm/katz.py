@@ -331,23 +331,24 @@ def _count(plan: Plan):
             met = np.choose(level, [np.zeros(len(level), np.int64), *by_row])
             end = counts.words[counts.columns[0]] == END
             following = np.where(end, 0, by_row[plan.order - 2]) if plan.order > 1 else np.zeros(len(level), np.int64)
-            at = given
-            for (chunk, _), times, code in zip(rows, sizes, codes, strict=True):
+            at, lost = given, []
+            for i, ((chunk, _), times, code) in enumerate(zip(rows, sizes, codes, strict=True)):
                 s = slice(at, at + len(times))
                 at += len(times)
                 event = np.repeat(np.arange(s.start, s.stop), times)
                 doc = code >> 1
                 out.append(("tokens", chunk, chunk, pack(doc.astype(np.uint64), *(x[event].astype(np.uint64) for x in (level, met, by_row[0], following)))))
-                lost = np.flatnonzero(level[event] < plan.order) if plan.order > 1 else np.zeros(0, np.int64)
-                if len(lost):
-                    out += _requests(plan, counts, level, event[lost], doc[lost], chunk)
+                down = np.flatnonzero(level[event] < plan.order)
+                lost.append((event[down], doc[down], np.full(len(down), i, np.uint32)))
+            if plan.order > 1 and lost:
+                out += _requests(plan, counts, level, key, np.array([c for c, _ in rows], np.uint64), *(np.concatenate([x[i] for x in lost]) for i in range(3)))
             yield from batches_of(out, 64)
 
     return run
 
 
-def _requests(plan: Plan, counts: Counts, level: np.ndarray, row: np.ndarray, doc: np.ndarray, chunk: int) -> list[tuple]:
-    """ask: what the tokens of some rows need of the contexts passed on the way down; often: the same of contexts that all know."""
+def _requests(plan: Plan, counts: Counts, level: np.ndarray, key: int, chunks: np.ndarray, row: np.ndarray, doc: np.ndarray, which: np.ndarray) -> list[tuple]:
+    """ask: what the tokens of some rows (in documents of the which-th chunk) need of the contexts passed on the way down; often: the same of contexts that all know."""
     asked: list[tuple] = []
     for m in range(1, plan.order):  # contexts of m words, passed by tokens met at level m or below, or the ground of level m + 1
         names = _chain([counts.words[c[row]] for c in counts.columns[1 : m + 1]])
@@ -360,17 +361,16 @@ def _requests(plan: Plan, counts: Counts, level: np.ndarray, row: np.ndarray, do
                 second = counts.columns[2][row[i]] if m > 1 else None
                 often = plan.known(counts.words)[0][first] if m == 1 else np.zeros(len(i), bool)
                 often |= names[i] == _chain([np.array([START])] * m)[0]
-                asked.append((names[i], np.full(len(i), what), doc[i], plan.place(counts.words, first, second), often))
-    name, what, of, where, often = (np.concatenate([a[i] for a in asked]) for i in range(5))
-    out = []
-    if often.any():
-        out.append(("often", 0, chunk, pack(name[often], what[often].astype(np.uint64), of[often].astype(np.uint64))))
-    name, what, of, where = (x[~often] for x in (name, what, of, where))
-    order = np.lexsort((name, where))
-    for p, a, b in slices(where[order]):
-        i = order[a:b]
-        out.append(("ask", p, chunk, pack(name[i], what[i].astype(np.uint64), of[i].astype(np.uint64))))
-    return out
+                asked.append((names[i], np.full(len(i), what, np.uint8), doc[i], which[i], plan.place(counts.words, first, second), often))
+    if not asked:
+        return []
+    name, what, of, which, where, often = (np.concatenate([a[i] for a in asked]) for i in range(6))
+    told = lambda i: pack(chunks, name[i], what[i], of[i].astype(np.uint64), which[i].astype(np.uint64))
+    out = [("often", key, key, told(often))] if often.any() else []
+    i = np.flatnonzero(~often)
+    i = i[np.argsort(name[i], kind="stable")]
+    i = i[np.argsort(where[i], kind="stable")]
+    return out + [("ask", p, key, told(i[a:b])) for p, a, b in slices(where[i])]
 
 
 def _contexts(plan: Plan, first: int, last: int):
@@ -473,17 +473,24 @@ class Weights:
         return name[order], alpha[order], count[order]
 
 
-def _answer(known: tuple[np.ndarray, np.ndarray, np.ndarray], blob: bytes) -> bytes:
-    """Per document the sum of what its requests ask for; contexts never trained add nothing."""
-    name, what, doc = unpack(blob)
+def _answers(known: tuple[np.ndarray, np.ndarray, np.ndarray], blobs: list[bytes]) -> list[tuple]:
+    """more, by chunk: per document the sum of what its requests ask for; contexts never trained add nothing."""
     names, alpha, count = known
-    value = np.zeros(len(name))
-    if len(names):
-        at = np.minimum(np.searchsorted(names, name.astype(np.uint64)), len(names) - 1)
-        here = np.choose(what, [alpha[at] + count[at], alpha[at], -count[at]])
-        value = np.where(names[at] == name, here, 0.0)
-    docs, back = np.unique(doc, return_inverse=True)
-    return pack(docs.astype(np.uint64), np.bincount(back, weights=value))
+    if not blobs or not len(names):
+        return []
+    asked = [unpack(b) for b in blobs]
+    chunk = np.concatenate([a[0].astype(np.int64)[a[4]] for a in asked])
+    name, what, doc = (np.concatenate([a[i] for a in asked]) for i in range(1, 4))
+    at = np.minimum(np.searchsorted(names, name.astype(np.uint64)), len(names) - 1)
+    here = np.choose(what, [alpha[at] + count[at], alpha[at], -count[at]])
+    value = np.where(names[at] == name, here, 0.0)
+    order = np.lexsort((doc, chunk))
+    chunk, doc, value = chunk[order], doc[order], value[order]
+    out = []
+    for c, a, b in slices(chunk):
+        docs, back = np.unique(doc[a:b], return_inverse=True)
+        out.append(("more", c, c, pack(docs.astype(np.uint64), np.bincount(back, weights=value[a:b]))))
+    return out
 
 
 def _back_off(plan: Plan, discounts: list[np.ndarray], total: int):
@@ -503,9 +510,7 @@ def _back_off(plan: Plan, discounts: list[np.ndarray], total: int):
             at = np.isin(known[0], common)
             if at.any() and not given:
                 out.append(("all", 0, 0, pack(*(x[at] for x in known))))
-            for kind, chunk, blob in rows:
-                if kind == "ask":
-                    out.append(("more", chunk, chunk, _answer(known, blob)))
+            out += _answers(known, [blob for kind, _, blob in rows if kind == "ask"])
             yield from batches_of(out, 64)
 
     return run
@@ -514,9 +519,8 @@ def _back_off(plan: Plan, discounts: list[np.ndarray], total: int):
 def _often(known: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if chunks:
-                yield blob_rows([("more", c, c, _answer(known, b)) for c, b in zip(chunks, blobs, strict=True)])
+            for blob in batch.column(1).to_pylist():
+                yield from batches_of(_answers(known, [blob]), 64)
 
     return run
 
