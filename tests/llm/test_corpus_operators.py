@@ -486,6 +486,38 @@ def test_passages_against_brute_force(spark):
     assert set(found) <= sharing
 
 
+def test_passages_link_every_pair_of_different_texts(spark):
+    """Of few and of many texts that hold variants of a passage, each two are linked, or both to a third that one holds word by word."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"{rng.choice('bcdfgh')}{rng.randrange(3000)}" for _ in range(n)]
+    line, texts, groups = fresh(20), [], []
+    for n, words in ((5, 120), (passages.FEW + 8, 100), (3, 56)):
+        base = fresh(words)
+        groups.append(range(len(texts), len(texts) + n))
+        for i in range(n):
+            own = [f"{w}x{i}" if rng.random() < 0.03 and words > 60 else w for w in base]
+            texts.append(fresh(30) + line + fresh(20) + own + fresh(25))
+        for a in range(0, words, 24):  # others hold its parts
+            texts += [fresh(30) + base[a : a + 24] + fresh(30) for _ in range(4)]
+    texts += [fresh(40) + line + fresh(40) for _ in range(2 * passages.FEW)]
+    copies = [texts[0]] * 3
+    rows = passages.find(spark, documents(spark, [" ".join(t) for t in texts + copies])).collect()
+    linked, word_by_word = {}, set()
+    for r in rows:
+        a, b = r["doc_id"], r["partner_id"]
+        linked.setdefault(a, set()).add(b)
+        linked.setdefault(b, set()).add(a)
+        word_by_word |= {frozenset((a, b))} if r["similarity"] >= 0.98 else set()
+    assert sum(linked.get(len(texts) + i) == {0} for i in range(len(copies))) == len(copies)
+    grouped = {i for g in groups for i in g}
+    assert set(linked) - set(range(len(texts), len(texts) + len(copies))) == grouped
+    for group in groups:
+        for a in group:
+            for b in range(group[0], a):
+                third = {c for c in linked[a] & linked[b] if word_by_word & {frozenset((a, c)), frozenset((b, c))}}
+                assert b in linked[a] or len(group) > passages.FEW and third, (a, b)
+
+
 def test_passages_do_not_depend_on_chunks_or_parts(spark):
     rng = random.Random(22)
     fresh = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
