@@ -11,6 +11,7 @@ from ..plans.binder import BoundSelect, Term
 from ..plans.nodes import Select, TableRef
 from ..plans.render import condition_sql, ref_sql, value_sql
 from . import grouping, ordering, relations
+from .eager import Collapsed
 
 
 @dataclass
@@ -43,6 +44,8 @@ def _scan_text(ref: TableRef) -> str:
 def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source], algorithm: str = "auto", deterministic: bool = False, watch: Callable[[DataFrame], DataFrame] | None = None) -> PlanStep:
     """Joins left-deep as written, WHERE above them; Catalyst pushes each term to the scan it belongs to.
 
+    Tables joined many to many only to be grouped are grouped before.
+
     watch stands between the steps, to count the rows that pass. Full sorts, which
     leave the counts as they are, are then left out, as Spark reads their input
     twice to place the rows.
@@ -64,10 +67,19 @@ def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source]
             elif c.column.name in source.indexed:
                 indexed.add(c.name)
 
+    where, on = list(bound.where), bound.on
+    # Plans that are watched, or that ask for the order of the rows joined, join every row.
+    plain = algorithm != "auto" or deterministic or watch
+    own = [next((c.name for c in columns if c.column.name == source.key), None) for (_, columns), source in zip(bound.tables, sources, strict=True)]
+    collapsed = None if plain else Collapsed.of(bound, own)
+    if collapsed:
+        where, on = collapsed.where, collapsed.on
+        for i, scanned in enumerate(steps):
+            scanned.df = collapsed.table(i, scanned.df)
+
     step = steps[0]
-    where = list(bound.where)
     for i, right in enumerate(steps[1:]):
-        terms = list(bound.on[i])
+        terms = list(on[i])
         if algorithm != "auto":
             # A forced algorithm also gets the WHERE terms that this join makes checkable.
             have = set(step.df.columns) | set(right.df.columns)
@@ -86,7 +98,7 @@ def lower(select: Select, bound: BoundSelect, source_of: Callable[[str], Source]
         text = ", ".join(map(ref_sql, select.group_by))
         named = list(dict.fromkeys(value_sql(v) for v in [*(i.value for i in select.items), *(c.left for c in select.having), *(o.value for o in select.order_by)] if v.func))
         head = ": ".join(filter(None, [f"GROUP BY {text}" if text else "", ", ".join(named)]))
-        step = made(f"HashAggregate {head}", grouping.group(step.df, bound.groups, bound.aggregates, keys if deterministic else None), [step])
+        step = made(f"HashAggregate {head}", collapsed.group(step.df, bound.groups) if collapsed else grouping.group(step.df, bound.groups, bound.aggregates, keys if deterministic else None), [step])
         ties = [grouping.FIRST] if deterministic and bound.groups and keys else [g.name for g in bound.groups]
         unique = {bound.groups[0].name} if len(bound.groups) == 1 else set()
         if bound.having:

@@ -92,6 +92,45 @@ def test_too_many_tables(db):
         db.sql(f"SELECT t.id FROM t {joins}")
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT a.a, COUNT(*), COUNT(b.v), SUM(b.v), AVG(a.v), MIN(b.s), MAX(a.id) FROM m a JOIN m b ON a.a = b.a AND a.s = b.s GROUP BY a.a",
+        "SELECT COUNT(*), SUM(a.v), AVG(b.a), MIN(a.v), MAX(b.v) FROM m a JOIN m b ON a.a < b.a WHERE a.id > 3 AND b.s = 'x'",
+        "SELECT COUNT(*), COUNT(a.v), SUM(a.v), AVG(a.v), MIN(a.v) FROM m a JOIN m b ON a.a = b.a WHERE a.id > 999",
+        "SELECT a.s, c.a FROM m a JOIN m b ON a.a = b.a JOIN m c ON b.s = c.s WHERE a.v <> c.v GROUP BY a.s, c.a HAVING COUNT(*) > 2 ORDER BY SUM(b.v) DESC, c.a, a.s",
+        "SELECT COUNT(*), SUM(b.v) FROM m a JOIN m b ON a.id > 5",
+        "SELECT k.id, COUNT(*), SUM(a.v), COUNT(k.v), SUM(k.v) FROM m a JOIN m b ON a.s = b.s JOIN m k ON k.id = a.a GROUP BY k.id",
+    ],
+)
+def test_groups_made_before_a_join_are_those_made_after(spark, sql):
+    rows = [(i, i % 4 if i % 7 else None, "xyz"[i % 3] if i % 5 else None, i * 3 - 40 if i % 6 else None) for i in range(40)]
+    got = []
+    for deterministic in (False, True):
+        s = Session(spark, deterministic=deterministic)
+        s.register("m", spark.createDataFrame(rows, "id long, a long, s string, v long"), key="id")
+        df = s.sql(sql)
+        assert ("t0rows" in df._jdf.queryExecution().optimizedPlan().toString()) is not deterministic
+        got.append((sorted(map(tuple, df.collect()), key=repr), df.schema.simpleString()))
+    assert got[0] == got[1]
+
+
+def test_join_of_many_with_many_is_not_spelled_out(spark):
+    """Every one of 2^20 rows meets 2^20 others: 2^40 pairs."""
+    s = Session(spark)
+    s.register("m", spark.range(1 << 20).selectExpr("id", "id % 1 AS a"), key="id")
+    assert s.query("SELECT a.a, COUNT(*), SUM(b.id) FROM m a JOIN m b ON a.a = b.a GROUP BY a.a").rows == [(0, 1 << 40, (1 << 20) * ((1 << 20) - 1) // 2 << 20)]
+
+
+def test_sums_of_joined_groups_overflow_by_what_joins(spark):
+    s = Session(spark)
+    s.register("big", spark.createDataFrame([(1, 7, 2**62), (2, 8, 2**62), (3, 8, 2**62), (4, 9, 2**62)], "id long, g long, v long"), key="id")
+    s.register("few", spark.createDataFrame([(1, 7), (2, 9), (3, 9)], "id long, g long"), key="id")
+    assert s.query("SELECT b.g, SUM(b.v) FROM big b JOIN few f ON b.g = f.g WHERE f.g < 9 GROUP BY b.g").rows == [(7, 2**62)]
+    with pytest.raises(ExecError, match="integer overflow in SUM"):
+        s.query("SELECT b.g, SUM(b.v) FROM big b JOIN few f ON b.g = f.g GROUP BY b.g")
+
+
 def test_overflow_names_the_function(spark):
     s = Session(spark)
     s.register("big", spark.createDataFrame([(1, 2**63 - 1), (2, 1)], "id long, v long"), key="id")
