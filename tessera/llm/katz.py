@@ -73,7 +73,7 @@ RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 
 class Chunk:
-    """The token stream of some documents."""
+    """The token stream of some documents, held as each block's distinct words and indices into them."""
 
     def __init__(self):
         self.parts: list[tuple] = []
@@ -87,17 +87,23 @@ class Chunk:
         n = batch.num_rows
         token = np.full(len(starts) + n, END, np.uint64)
         token[np.arange(len(starts)) + rows] = word_hashes(low, starts, ends)
-        self.parts.append((token, np.bincount(rows, minlength=n) + 1))
+        word, index = np.unique(token, return_inverse=True)
+        self.parts.append((word, index.astype(np.int32), np.bincount(rows, minlength=n) + 1))
         self.ids += batch.column(0).to_pylist()
         self.out += batch.column(1).to_pylist()
         self.docs += n
         self.bytes += len(data)
 
-    def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The tokens of all documents; tokens and training flag of each document."""
-        token, counts = (np.concatenate([p[i] for p in self.parts]) for i in range(2))
+    def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words and START, sorted; the tokens of all documents as indices into them; tokens and training flag of each document."""
+        word, place = np.unique(np.concatenate([*(p[0] for p in self.parts), np.array([START])]), return_inverse=True)
+        place, counts = place.astype(np.int32), np.concatenate([p[2] for p in self.parts])
+        index, at, to = np.empty(sum(len(p[1]) for p in self.parts), np.int32), 0, 0
+        for own, local, _ in self.parts:
+            index[at : at + len(local)] = place[to : to + len(own)][local]
+            at, to = at + len(local), to + len(own)
         self.parts.clear()
-        return token, counts, ~np.array(self.out, bool)
+        return word, index, counts, ~np.array(self.out, bool)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
@@ -141,12 +147,13 @@ class Plan:
 def _word_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _chunks(batches):
-            token, counts, train = chunk.streams()
-            word, count = np.unique(token[np.repeat(train, counts)], return_counts=True)
+            word, index, counts, train = chunk.streams()
+            count = np.bincount(index[np.repeat(train, counts)], minlength=len(word))
+            word, count = word[count > 0], count[count > 0]
             where = part_of(word, parts)
             order = np.argsort(where, kind="stable")
             rows = [(p, number, pack(word[order[a:b]], count[order[a:b]].astype(np.uint64))) for p, a, b in slices(where[order])]
-            del token, word
+            del word, index, count, where, order
             trim()
             if rows:
                 yield blob_rows(rows, ("key", "chunk", "blob"))
@@ -191,16 +198,14 @@ def _ngrams(plan: Plan, first: int, last: int, about: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _chunks(batches):
-            token, counts, train = chunk.streams()
+            word, index, counts, train = chunk.streams()
             if about:
                 ids = np.array([0 if i is None else i for i in chunk.ids], np.int64)
                 null = np.array([i is None for i in chunk.ids], np.uint8)
                 yield blob_rows([("docs", first + crc32(b"%d" % number) % (last - first), number, pack(ids, null, train.astype(np.uint8), counts.astype(np.uint64)))])
-            word, index = np.unique(np.append(token, START), return_inverse=True)
-            index = index.astype(np.int32)
-            start, index = index[-1], index[:-1]
+            start = np.searchsorted(word, START)
             doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-            inside = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+            inside = np.arange(len(index), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
             columns = [index]
             for j in range(1, plan.order):
                 before = np.full(len(index), start, np.int32)
@@ -208,22 +213,24 @@ def _ngrams(plan: Plan, first: int, last: int, about: bool):
                 before[inside < j] = start
                 columns.append(before)
             where = plan.place(word, index, columns[1] if plan.order > 1 else None)
-            keep = np.flatnonzero((where >= first) & (where < last))
-            key = _one_key([c[keep] for c in columns], len(word))
+            keep = np.flatnonzero((where >= first) & (where < last)).astype(np.int32)
+            columns, where, doc = [c[keep] for c in columns], where[keep], doc[keep]
+            del index, inside, keep
+            key = _one_key(columns, len(word))
             order = np.argsort(key, kind="stable")
-            near = (where[keep][order] - first).astype(np.uint16 if last - first < 1 << 16 else np.int32)
+            near = (where[order] - first).astype(np.uint16 if last - first < 1 << 16 else np.int32)
             order = order[np.argsort(near, kind="stable")]
-            where, key, keep = where[keep][order], key[order], keep[order]
-            columns = [c[keep] for c in columns]
-            code = doc[keep].astype(np.uint32) * np.uint32(2) + train[doc[keep]]
-            del token, index, doc, inside, keep, order
+            where, key, doc = where[order], key[order], doc[order]
+            columns = [c[order] for c in columns]
+            code = doc.astype(np.uint32) * np.uint32(2) + train[doc]
+            del doc, near, order
             rows = []
             for p, a, b in slices(where):
                 new = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
                 times = np.diff(np.append(new, b - a))
                 own, local = _own_words(word, [c[a:b][new] for c in columns])
                 rows.append(("N", p, number, pack(own, *(c.astype(np.uint64) for c in local), times.astype(np.uint64), code[a:b])))
-            del columns, where, key, code
+            del word, columns, where, key, code
             trim()
             yield from batches_of(rows, 16)
 
@@ -239,7 +246,7 @@ class Counts:
     """
 
     def __init__(self, plan: Plan, parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]):
-        """parts: (words, columns of indices into them, trained count) of some rows each."""
+        """parts: (words, columns of indices into them, trained count) of some rows each; used up."""
         every = np.concatenate([w for w, _, _ in parts])
         self.words, back = np.unique(every, return_inverse=True)
         at, columns = 0, [[] for _ in range(plan.order)]
@@ -250,6 +257,8 @@ class Counts:
                 out.append(mine[c.astype(np.int64)])
         self.columns = [np.concatenate(c) for c in columns]
         trained = np.concatenate([t for _, _, t in parts]).astype(np.float64)
+        parts.clear()
+        del every, back, columns
         size = len(self.words)
         self.ids, self.of, self.links = [], [], []
         key, before = self.columns[0].astype(np.int64), None
@@ -303,18 +312,22 @@ def _count(plan: Plan):
         for key, rows in grouped(batches, ("key", "kind", "chunk", "blob")):
             yield from batches_of([("docs", chunk, chunk, blob) for kind, chunk, blob in rows if kind == "docs"], 16)
             stored = [blob for kind, _, blob in rows if kind == "ngrams"]
-            rows = [(chunk, unpack(blob)) for kind, chunk, blob in rows if kind == "N"]
-            parts, sizes, codes = [], [], []
+            parts, sizes, codes, chunks = [], [], [], []
             for blob in stored:
                 word, columns, counts, _ = _table_rows(blob, plan.order)
                 parts.append((word, columns[-1], counts[-1]))
             given = sum(len(p[2]) for p in parts)
-            for _, (word, *columns, times, code) in rows:
+            for kind, chunk, blob in rows:
+                if kind != "N":
+                    continue
+                word, *columns, times, code = unpack(blob)
+                chunks.append(chunk)
                 times = times.astype(np.int64)
                 codes.append(code.astype(np.uint32))
                 begin = np.cumsum(times) - times
                 parts.append((word.astype(np.uint64), columns, np.add.reduceat(codes[-1] & 1, begin)))
                 sizes.append(times)
+            del rows[:]
             if not parts:
                 continue
             counts = Counts(plan, parts)
@@ -332,7 +345,7 @@ def _count(plan: Plan):
             end = counts.words[counts.columns[0]] == END
             following = np.where(end, 0, by_row[plan.order - 2]) if plan.order > 1 else np.zeros(len(level), np.int64)
             at, lost = given, []
-            for i, ((chunk, _), times, code) in enumerate(zip(rows, sizes, codes, strict=True)):
+            for i, (chunk, times, code) in enumerate(zip(chunks, sizes, codes, strict=True)):
                 s = slice(at, at + len(times))
                 at += len(times)
                 event = np.repeat(np.arange(s.start, s.stop), times)
@@ -341,7 +354,7 @@ def _count(plan: Plan):
                 down = np.flatnonzero(level[event] < plan.order)
                 lost.append((event[down], doc[down], np.full(len(down), i, np.uint32)))
             if plan.order > 1 and lost:
-                out += _requests(plan, counts, level, key, np.array([c for c, _ in rows], np.uint64), *(np.concatenate([x[i] for x in lost]) for i in range(3)))
+                out += _requests(plan, counts, level, key, np.array(chunks, np.uint64), *(np.concatenate([x[i] for x in lost]) for i in range(3)))
             yield from batches_of(out, 64)
 
     return run

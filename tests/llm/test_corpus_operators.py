@@ -7,8 +7,11 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -94,6 +97,25 @@ def check_katz(spark, texts, ids, order):
     return model, hand
 
 
+def test_katz_chunks_take_few_bytes_a_token(monkeypatch):
+    """What the n-gram step of one chunk holds at most, next to its text."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 50_000) for _ in range(2500)]
+    columns = [pa.array(range(len(texts))), pa.array([i % 7 == 2 for i in range(len(texts))]), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "__text"])
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    step = katz._ngrams(katz.Plan(3, 12, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, 4, False)
+    list(step(iter([batch.slice(0, 50)])))  # tables made once
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in step(iter([batch.slice(i, 100) for i in range(0, len(texts), 100)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 4
+    assert peak < 40 * 401 * len(texts)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_katz_against_brute_force(spark, order):
     rng = random.Random(1)
