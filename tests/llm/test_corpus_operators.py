@@ -557,6 +557,76 @@ def test_passages_do_not_depend_on_chunks_or_parts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", given)
 
 
+def test_texts_travel_to_few_tiles():
+    """Of pairs each with each, a text goes to one row and one column of tiles, asked for in one row a part."""
+    parts, docs = 49, np.random.default_rng(4).integers(1, 1 << 63, 300).astype(np.uint64)
+    one, two = (docs[i] for i in np.tril_indices(len(docs), -1))
+    asked, chained = [], 0
+    for key in range(parts):
+        i = np.flatnonzero(passages.part_of(one, parts) == key)
+        a, b = np.repeat(one[i], 3), np.repeat(two[i], 3)
+        x = np.tile(np.array([7, 30, 60], np.uint64), len(i))
+        batch = pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(a, b, x, x, np.zeros(len(a), np.uint8))])], names=["key", "blob"])
+        rows = [r for out in passages._chain_links(200, parts)(iter([batch])) for r in out.to_pylist()]
+        asked += [r for r in rows if r["kind"] == "R"]
+        assert sum(r["kind"] == "R" for r in rows) <= parts
+        chained += sum(len(unpack(r["blob"])[0]) for r in rows if r["kind"] == "C")
+    assert chained == len(one)
+    tiles = collections.defaultdict(set)
+    for r in asked:
+        doc, tile, low, high = unpack(r["blob"])
+        assert (low == 0).all() and (high == 265).all()
+        for d, t in zip(doc.tolist(), tile.tolist(), strict=True):
+            tiles[d].add(t)
+    assert len(tiles) == len(docs) and max(map(len, tiles.values())) <= 13
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(asked)), pa.array([r["blob"] for r in asked])], names=["key", "blob"])
+    assert sum(out.num_rows for out in passages._asks(iter([batch]))) == len(docs)
+
+
+def test_chains_and_alignments_of_many_at_once():
+    """As one by one, for anchors in order in both texts."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        x = list(np.cumsum([rng.choice((2, 5, 7, 40, 90)) for _ in range(rng.randint(1, 12))]))
+        y = list(np.cumsum([rng.choice((1, 3, 6, 33, 120)) for _ in x]))
+        pairs.append((list(map(int, x)), list(map(int, y))))
+    size = np.array([len(x) for x, _ in pairs])
+    edge = np.cumsum(size) - size
+    first, n = passages._lines(edge, size, *(np.array([v for p in pairs for v in p[i]]) for i in range(2)))
+    want = {(e + c[0], len(c)) for e, (x, y) in zip(edge.tolist(), pairs, strict=True) for c in passages.chains(x, y)}
+    assert set(zip(first.tolist(), n.tolist(), strict=True)) == want
+
+    tok, xs, ys, counts, before, after, want = [], [], [], [], [], [], []
+    for c in range(200):
+        a = [rng.randrange(40) for _ in range(rng.randint(30, 260))]
+        b, at = [], []
+        noise = rng.choice((0, 0.01, 0.05, 0.2))
+        for w in a:  # words replaced, left out and added
+            at.append(len(b))
+            b += [w] if rng.random() >= noise else rng.choice(([], [rng.randrange(40)], [w] + [rng.randrange(40) for _ in range(rng.randint(1, 20))]))
+        anchors = [i for i in range(len(a) - 4) if a[i : i + 5] == b[at[i] : at[i] + 5] and rng.random() < 0.3]
+        kept = []
+        for i in anchors:
+            if not kept or i - kept[-1] == at[i] - at[kept[-1]] or min(i - kept[-1], at[i] - at[kept[-1]]) >= 5:
+                kept.append(i)
+        if not kept:
+            continue
+        x, y = kept, [at[i] for i in kept]
+        i, j = len(tok), len(tok) + len(a)
+        want += [(len(counts), s + i, e + i, t + j, f + j, same) for s, e, t, f, same in passages.passages(passages.aligned(a, b, x, y))]
+        tok += a + b
+        xs += [v + i for v in x]
+        ys += [v + j for v in y]
+        counts.append(len(x))
+        before.append(min(x[0], y[0]))
+        after.append(min(len(a) - x[-1], len(b) - y[-1]) - 5)
+    tok, xs, ys, counts, before, after = (np.array(v) for v in (tok, xs, ys, counts, before, after))
+    begin = np.cumsum(counts) - counts
+    assert passages._regular(tok, xs, ys, begin, counts).all()
+    assert sorted(passages._stretches(tok, xs, ys, begin, counts, before, after)) == sorted(want) and len(want) > 100
+
+
 def test_chains_against_quadratic_search():
     rng = random.Random(6)
     for _ in range(60):
