@@ -62,6 +62,8 @@ LARGE = 0.999
 #: Tokens aimed at per part, and bytes of text per chunk.
 PART_TOKENS = 1_750_000
 CHUNK_BYTES = 16 << 20
+#: Bytes of text tokenised at once: arrays over them stay in a core's cache.
+TOKEN_BYTES = 1 << 18
 #: Words dealt by pair at most; which ones changes no result.
 HOT_MOST = 1 << 20
 #: Hashes that stand for the end and the start of a text.
@@ -72,6 +74,13 @@ FULL, ALPHA, COUNT = range(3)
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block of texts as hashes, and their rows."""
+    low = LOWER[data]
+    starts, ends, rows = words(low, offs, SPACED)
+    return word_hashes(low, starts, ends), rows
+
+
 class Chunk:
     """The token stream of some documents, held as each block's distinct words and indices into them."""
 
@@ -82,11 +91,10 @@ class Chunk:
         self.out: list = []
 
     def add(self, batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> None:
-        low = LOWER[data]
-        starts, ends, rows = words(low, offs, SPACED)
+        hashes, rows = _tokens(data, offs)
         n = batch.num_rows
-        token = np.full(len(starts) + n, END, np.uint64)
-        token[np.arange(len(starts)) + rows] = word_hashes(low, starts, ends)
+        token = np.full(len(rows) + n, END, np.uint64)
+        token[np.arange(len(rows)) + rows] = hashes
         word, index = np.unique(token, return_inverse=True)
         self.parts.append((word, index.astype(np.int32), np.bincount(rows, minlength=n) + 1))
         self.ids += batch.column(0).to_pylist()
@@ -109,7 +117,7 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     """Numbered chunks of a partition: the same ones whenever the partition is computed."""
     part, seq, chunk = TaskContext.get().partitionId(), 0, Chunk()
-    for batch, data, offs in text_blocks(batches, "__text"):
+    for batch, data, offs in text_blocks(batches, "__text", TOKEN_BYTES):
         if chunk.docs and chunk.bytes + len(data) > CHUNK_BYTES:
             yield (part << 24) + seq, chunk
             seq, chunk = seq + 1, Chunk()
@@ -145,18 +153,33 @@ class Plan:
 
 
 def _word_counts(parts: int):
+    """The distinct words of the training texts, with their counts, some chunks of text at a time."""
+
+    def flush(number: int, held: list[tuple]) -> pa.RecordBatch:
+        word, index = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        count = np.bincount(index, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+        held.clear()
+        where = part_of(word, parts)
+        order = np.argsort(where, kind="stable")
+        rows = [(p, number, pack(word[order[a:b]], count[order[a:b]].astype(np.uint64))) for p, a, b in slices(where[order])]
+        del word, index, count, where, order
+        trim()
+        return blob_rows(rows, ("key", "chunk", "blob"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk in _chunks(batches):
-            word, index, counts, train = chunk.streams()
-            count = np.bincount(index[np.repeat(train, counts)], minlength=len(word))
-            word, count = word[count > 0], count[count > 0]
-            where = part_of(word, parts)
-            order = np.argsort(where, kind="stable")
-            rows = [(p, number, pack(word[order[a:b]], count[order[a:b]].astype(np.uint64))) for p, a, b in slices(where[order])]
-            del word, index, count, where, order
-            trim()
-            if rows:
-                yield blob_rows(rows, ("key", "chunk", "blob"))
+        held, size, number = [], 0, TaskContext.get().partitionId() << 24
+        for batch, data, offs in text_blocks(batches, "__text", TOKEN_BYTES):
+            train = ~batch.column(1).to_numpy(zero_copy_only=False)
+            if not train.any():
+                continue
+            hashes, rows = _tokens(data, offs)
+            held += [np.unique(hashes[train[rows]], return_counts=True), (np.array([END]), np.array([train.sum()]))]
+            size += len(data)
+            if size > CHUNK_BYTES:
+                yield flush(number, held)
+                size, number = 0, number + 1
+        if held:
+            yield flush(number, held)
 
     return run
 
@@ -193,6 +216,14 @@ def _one_key(columns: list[np.ndarray], size: int) -> np.ndarray:
     return key
 
 
+def _order(where: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """An order by `where` and then `key`, both from 0 on; rows alike in both come in any order."""
+    top = int(key.max(initial=0)) + 1
+    if (int(where.max(initial=0)) + 1) * top >= 1 << 63:
+        return np.lexsort((key, where))
+    return np.argsort(where.astype(np.uint64) * np.uint64(top) + key.astype(np.uint64))
+
+
 def _ngrams(plan: Plan, first: int, last: int, about: bool):
     """N: the chunk's distinct n-grams and their documents, to parts first to last; docs, if `about`: the chunk's documents."""
 
@@ -217,13 +248,15 @@ def _ngrams(plan: Plan, first: int, last: int, about: bool):
             columns, where, doc = [c[keep] for c in columns], where[keep], doc[keep]
             del index, inside, keep
             key = _one_key(columns, len(word))
-            order = np.argsort(key, kind="stable")
-            near = (where[order] - first).astype(np.uint16 if last - first < 1 << 16 else np.int32)
-            order = order[np.argsort(near, kind="stable")]
-            where, key, doc = where[order], key[order], doc[order]
+            order = _order(where - first, key)
+            # Rows alike by place, so that their documents ascend.
+            where, key = where[order], key[order]
+            run = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] != where[:-1])])[: len(key)])
+            order = np.sort((run << 32) + order) & 0xFFFFFFFF
+            doc = doc[order]
             columns = [c[order] for c in columns]
             code = doc.astype(np.uint32) * np.uint32(2) + train[doc]
-            del doc, near, order
+            del doc, run, order
             rows = []
             for p, a, b in slices(where):
                 new = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
@@ -381,8 +414,8 @@ def _requests(plan: Plan, counts: Counts, level: np.ndarray, key: int, chunks: n
     told = lambda i: pack(chunks, name[i], what[i], of[i].astype(np.uint64), which[i].astype(np.uint64))
     out = [("often", key, key, told(often))] if often.any() else []
     i = np.flatnonzero(~often)
-    i = i[np.argsort(name[i], kind="stable")]
-    i = i[np.argsort(where[i], kind="stable")]
+    i = i[np.argsort(name[i])]
+    i = i[np.argsort(where[i].astype(np.uint16 if plan.parts <= 1 << 16 else np.int32), kind="stable")]
     return out + [("ask", p, key, told(i[a:b])) for p, a, b in slices(where[i])]
 
 
@@ -405,7 +438,7 @@ def _contexts(plan: Plan, first: int, last: int):
                     context, n2, n1, where = [c[mine] for c in context], n2[mine], n1[mine], where[mine]
                     cls = np.minimum(n2, CUT + 1) * (CUT + 2) + np.minimum(n1, CUT + 1)
                     name = _one_key([*context, cls], max(len(word), (CUT + 2) ** 2))
-                    order = np.lexsort((name, where))
+                    order = _order(where, name)
                     new = np.flatnonzero(np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (where[order][1:] != where[order][:-1])]))
                     n = np.diff(np.append(new, len(order)))
                     s2 = np.add.reduceat(np.where(n2 > CUT, n2, 0)[order], new)
@@ -492,17 +525,18 @@ def _answers(known: tuple[np.ndarray, np.ndarray, np.ndarray], blobs: list[bytes
     if not blobs or not len(names):
         return []
     asked = [unpack(b) for b in blobs]
-    chunk = np.concatenate([a[0].astype(np.int64)[a[4]] for a in asked])
+    chunks = np.unique(np.concatenate([a[0].astype(np.int64) for a in asked]))
+    which = np.concatenate([np.searchsorted(chunks, a[0].astype(np.int64))[a[4]] for a in asked])
     name, what, doc = (np.concatenate([a[i] for a in asked]) for i in range(1, 4))
     at = np.minimum(np.searchsorted(names, name.astype(np.uint64)), len(names) - 1)
     here = np.choose(what, [alpha[at] + count[at], alpha[at], -count[at]])
-    value = np.where(names[at] == name, here, 0.0)
-    order = np.lexsort((doc, chunk))
-    chunk, doc, value = chunk[order], doc[order], value[order]
+    room = int(doc.max(initial=0)) + 1
+    one, back = np.unique(which * room + doc.astype(np.int64), return_inverse=True)
+    value = np.bincount(back, weights=np.where(names[at] == name, here, 0.0))
     out = []
-    for c, a, b in slices(chunk):
-        docs, back = np.unique(doc[a:b], return_inverse=True)
-        out.append(("more", c, c, pack(docs.astype(np.uint64), np.bincount(back, weights=value[a:b]))))
+    for w, a, b in slices(one // room):
+        c = int(chunks[w])
+        out.append(("more", c, c, pack((one[a:b] % room).astype(np.uint64), value[a:b])))
     return out
 
 

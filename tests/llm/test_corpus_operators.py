@@ -161,6 +161,28 @@ def test_katz_very_long_text(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(spaced(t)) + 1 for i, t in enumerate(AWKWARD)}
 
 
+def test_katz_orders_and_answers_as_sorted_one_by_one():
+    """Rows by part and key with one sort, also where both do not fit one number; answers summed by chunk and document."""
+    rng = np.random.default_rng(8)
+    for top in (50, 1 << 60):
+        where, key = rng.integers(0, 40, 5000), rng.integers(0, top, 5000).astype(np.uint64)
+        i, j = katz._order(where, key), np.lexsort((key, where))
+        assert (where[i] == where[j]).all() and (key[i] == key[j]).all() and len(set(i.tolist())) == 5000
+    assert not len(katz._order(np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    names = np.sort(rng.integers(0, 1 << 62, 90).astype(np.uint64))
+    alpha, count = rng.random(90), rng.random(90)
+    blobs, want = [], collections.defaultdict(float)
+    for chunks in ([5 << 24, 1], [1, 2, 9 << 40]):
+        at, what, doc, which = (rng.integers(0, n, 400) for n in (90, 3, 7, len(chunks)))
+        name = names[at] + (rng.random(400) < 0.1).astype(np.uint64)
+        for k in range(400):
+            known = name[k] == names[at[k]]
+            want[chunks[which[k]], doc[k]] += known * (alpha[at[k]] + count[at[k]], alpha[at[k]], -count[at[k]])[what[k]]
+        blobs.append(pack(np.array(chunks, np.uint64), name, what.astype(np.uint8), doc.astype(np.uint64), which.astype(np.uint64)))
+    got = {(c, d): v for _, c, _, blob in katz._answers((names, alpha, count), blobs) for d, v in zip(*(x.tolist() for x in unpack(blob)), strict=True)}
+    assert got == pytest.approx(dict(want))
+
+
 # Top-k
 
 
