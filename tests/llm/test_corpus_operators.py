@@ -588,7 +588,8 @@ def test_texts_travel_to_few_tiles():
         i = np.flatnonzero(passages.part_of(one, parts) == key)
         a, b = np.repeat(one[i], 3), np.repeat(two[i], 3)
         x = np.tile(np.array([7, 30, 60], np.uint64), len(i))
-        batch = pa.RecordBatch.from_arrays([pa.array([key]), pa.array([pack(a, b, x, x, np.zeros(len(a), np.uint8))])], names=["key", "blob"])
+        links = passages._link_rows(key, parts, np.zeros(len(a), np.uint64), a, b, x, x, np.zeros(len(a)))
+        batch = pa.RecordBatch.from_arrays([pa.array([key] * len(links)), pa.array([r[3] for r in links])], names=["key", "blob"])
         rows = [r for out in passages._chain_links(200, parts)(iter([batch])) for r in out.to_pylist()]
         asked += [r for r in rows if r["kind"] == "R"]
         assert sum(r["kind"] == "R" for r in rows) <= parts
@@ -605,6 +606,18 @@ def test_texts_travel_to_few_tiles():
     assert sum(out.num_rows for out in passages._asks(iter([batch]))) == len(docs)
 
 
+def test_equal_links_in_any_order_make_one_chain():
+    """A lone link beside one to a first holder, itself also met as one: rows of a part come in any order."""
+    blobs = []
+    for partner, place, star in ((5, 40, 0), (5, 40, 1), (6, 41, 1)):
+        one = [np.array([v]) for v in (1, partner)]
+        blobs.append(passages._link_rows(0, 1, np.zeros(1, np.uint64), *(v.astype(np.uint64) for v in one), np.array([place]), np.array([9]), np.array([star]))[0][3])
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 3), pa.array([blobs[i] for i in order])], names=["key", "blob"])
+        rows = [r for out in passages._chain_links(200, 1)(iter([batch])) for r in out.to_pylist() if r["kind"] == "C"]
+        assert [unpack(r["blob"])[1].tolist() for r in rows] == [[5]], order
+
+
 def test_chains_and_alignments_of_many_at_once():
     """As one by one, for anchors in order in both texts."""
     rng = random.Random(9)
