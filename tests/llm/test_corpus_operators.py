@@ -562,6 +562,46 @@ def test_passages_link_every_pair_of_different_texts(spark):
                 assert b in linked[a] or len(group) > passages.FEW and third, (a, b)
 
 
+def test_classes_count_every_link_in_one_row_a_document(spark):
+    """Of few and of many texts, variants and copies of a passage, all links are counted, those that only a first holder tells as well."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"{rng.choice('bcdfgh')}{rng.randrange(3000)}" for _ in range(n)]
+    texts, want = [], {}
+
+    def group(parts):
+        at = len(texts)
+        for p in parts:
+            texts.append(fresh(30) + p + fresh(25))
+        return range(at, len(texts))
+
+    for n in (5, passages.FEW + 8):  # variants of a passage
+        base = fresh(100)
+        ids = group([[f"{w}x{i}" if (k + i) % 33 == 5 else w for k, w in enumerate(base)] for i in range(n)])
+        want |= {i: (ids[0], n - 1) for i in ids}
+    base, many = fresh(80), passages.FEW + 10  # copies of a passage, and of its parts, which share 44 words
+    whole, left, right = group([base] * many), group([base[:62]] * 6), group([base[18:]] * 7)
+    want |= {i: (whole[0], many + 12) for i in whole} | {i: (whole[0], many + 5) for i in left} | {i: (whole[0], many + 6) for i in right}
+    alone = group([fresh(50)] * 1)
+    want |= {i: (i, 0) for i in alone}
+    docs = [" ".join(t) for t in texts] + [" ".join(texts[3])] * 2 + [" ".join(texts[alone[0]]), "short one", "short one", None, ""]
+    given, first = spark.conf.get("spark.sql.shuffle.partitions"), None
+    try:
+        for parts, splits, size in ((8, 1, 1 << 24), (3, 5, 2000)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            rows = sorted(map(tuple, passages.classes(spark, documents(spark, docs).repartition(splits), chunk_bytes=size).collect()))
+            first = first or rows
+            assert rows == first and [r[0] for r in rows] == list(range(len(docs)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert all(n_words == len(alnum(docs[i])) for i, n_words, *_ in first)
+    assert {i: (c, n) for i, _, c, n, *_ in first if i < len(texts)} == {**want, alone[0]: (alone[0], 0)}
+    n = len(texts)
+    assert [r[2:5] for r in first[n:]] == [(0, 4, 2)] * 2 + [(alone[0], 0, 1)] + [(n + k, 0, 0) for k in range(3, 7)]
+    assert first[3][4] == 2 and first[3][6] == "0:155"
+    for i in whole:
+        assert (first[i][5], first[i][6]) == (80, "30:110")
+
+
 def test_passages_do_not_depend_on_chunks_or_parts(spark):
     rng = random.Random(22)
     fresh = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
